@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from searchlake.llm import secrets, sentencepiece_bpe, simhash, toxicity
+from searchlake.llm import ann, chat, secrets, sentencepiece_bpe, simhash, toxicity, urlfilter
 from searchlake.llm.common import table
 
 
@@ -15,6 +15,12 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_documents(table(spark, sf_dir, "documents"), sentencepiece_bpe.default_model())
 
 
+def op4_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    judged = urlfilter.filter_urls(pages, urlfilter.rule_table(spark))
+    return judged.select("page_id", F.col("url_host").alias("host"), F.col("url_path").alias("path"), F.col("url_rule").alias("rule"), F.col("url_verdict").alias("verdict"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
@@ -31,14 +37,28 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.digests(*chat.prefix_trees(own.unionByName(extra)))
+
+
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_sentencepiece": op3_sentencepiece,
+        "op4_urlfilter": op4_urlfilter,
         "op5_secrets": op5_secrets,
         "op7_simhash": op7_simhash,
         "op8_toxicity": op8_toxicity,
+        "op9_chat": op9_chat,
+        "op10_ann": op10_ann,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_urlfilter": urlfilter.ORACLE_SQL}
