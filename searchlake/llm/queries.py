@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from searchlake.llm import ann, chat, secrets, sentencepiece_bpe, simhash, toxicity, urlfilter
+from searchlake.llm import ann, chat, decontaminate, secrets, sentencepiece_bpe, simhash, toxicity, urlfilter
 from searchlake.llm.common import table
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_documents(table(spark, sf_dir, "documents"), sentencepiece_bpe.default_model())
 
@@ -50,6 +54,7 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_decontaminate": op2_decontaminate,
         "op3_sentencepiece": op3_sentencepiece,
         "op4_urlfilter": op4_urlfilter,
         "op5_secrets": op5_secrets,
