@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -51,6 +52,11 @@ class Scratch:
         for name in names:
             self._delete(f"{self.root}/{name}")
 
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of finished plans: it does so when the driver collects garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def close(self) -> None:
         try:
             if self.spark.sparkContext._jsc is not None:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from searchlake.llm import ann, chat, decontaminate, secrets, sentencepiece_bpe, simhash, toxicity, urlfilter
+from searchlake.llm import ann, chat, decontaminate, secrets, sentencepiece_bpe, simhash, suffix_dedup, toxicity, urlfilter
 from searchlake.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sentencepiece": op3_sentencepiece,
         "op4_urlfilter": op4_urlfilter,
         "op5_secrets": op5_secrets,
+        "op6_suffix_dedup": op6_suffix_dedup,
         "op7_simhash": op7_simhash,
         "op8_toxicity": op8_toxicity,
         "op9_chat": op9_chat,
