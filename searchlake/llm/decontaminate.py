@@ -184,20 +184,32 @@ def _joined_search(docs: DataFrame, items: DataFrame, id_type: str) -> DataFrame
     return verified.groupBy("doc_id", "item_id").agg(best).select("doc_id", F.col("item_id").cast("long").alias("item_id"), "b.item_tokens", "b.matched_tokens", (-F.col("b.s")).alias("start_token"), "b.end_token")
 
 
+def _items(benchmark: DataFrame, broadcast_seeds: int) -> tuple[DataFrame, list[tuple[int, str]] | None]:
+    """The items, and their rows if their seeds are within the bound."""
+    items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).where("item_id is not null")
+    # a text of n bytes has at most (n + 1) / 2 tokens
+    bound = items.agg(F.sum((F.octet_length("text") + 1) / 2 * len(MASKS))).first()[0] or 0
+    return items, [tuple(r) for r in items.orderBy("item_id", "text").collect()] if bound <= broadcast_seeds else None
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
     """(doc_id, item_id, item_tokens, matched_tokens, start_token, end_token): a row for each
     document and item whose texts overlap; clean documents have none."""
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
-    # a text of n bytes has at most (n + 1) / 2 tokens
-    bound = items.agg(F.sum((F.octet_length("text") + 1) / 2 * len(MASKS)), F.sum(F.octet_length("text"))).first()
+    items, rows = _items(benchmark, broadcast_seeds)
     id_type = dict(own.dtypes)["doc_id"]
-    if (bound[0] or 0) <= broadcast_seeds:
-        return _broadcast_search(own, [tuple(r) for r in items.where("item_id is not null").orderBy("item_id", "text").collect()], id_type)
-    return _joined_search(own, items.where("item_id is not null"), id_type)
+    return _broadcast_search(own, rows, id_type) if rows is not None else _joined_search(own, items, id_type)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
     """The rows of docs that overlap no item."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("__bad"), "left_anti")
+    _, rows = _items(benchmark, broadcast_seeds)
+    if rows is None:
+        bad = contaminated(docs, benchmark, broadcast_seeds=broadcast_seeds).select(F.col("doc_id").alias("__bad")).distinct()
+        return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
+    bench = Benchmark(rows)
+
+    def clean(texts: pd.Series) -> pd.Series:
+        return pd.Series([not bench.find(t) for t in texts], dtype=bool)
+
+    return docs.where(F.pandas_udf(clean, "boolean")(F.coalesce("text", F.lit(""))))

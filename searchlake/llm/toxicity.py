@@ -20,8 +20,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ORDERS, BITS = (3, 4, 5), 20
@@ -29,6 +30,11 @@ TRAIN_ROWS, FEATURES, MIN_ROWS, MIN_Z = 12_000, 4096, 4, 4.0
 THRESHOLD = 0.7
 
 
+def held_out(id_col: str) -> Column:
+    """Rows that training leaves out: a third, by a checksum of the id."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
+
+
 def hashed(text: str) -> list[np.ndarray]:
     """Hashed n-grams at every position, one array per order."""
     points = np.frombuffer((" " + " ".join(text.lower().split()) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -150,3 +156,12 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.score(t.as_py()) for t in batch.column(1)], pa.float64())], names=[id_col, "score"])
 
     return docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, score double")
+
+
+def drop_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score below the threshold; rows are judged where they are read."""
+
+    def scores(texts: pd.Series) -> pd.Series:
+        return pd.Series([model.score(t) for t in texts], dtype=float)
+
+    return docs.where(F.pandas_udf(scores, "double")(F.coalesce(F.col(text_col), F.lit(""))) < threshold)
