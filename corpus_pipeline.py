@@ -1,12 +1,59 @@
-"""A corpus cleaning pipeline of training-data operators."""
+"""A corpus cleaning pipeline: stages of training-data operators, from documents to token counts.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
+read again as the next stage's docs.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from searchlake.llm import decontaminate, pii, sentencepiece_bpe, simhash, toxicity
+from searchlake.llm.common import Scratch, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: documents scored as toxic go."""
+    labels = table(spark, sf_dir, "labels")
+    return toxicity.drop_toxic(docs, toxicity.train(docs, labels.where(~toxicity.held_out("doc_id"))))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: one document of each group of near-duplicates stays."""
+    return simhash.drop_near_duplicates(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: documents that hold benchmark passages go."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: personal data is replaced by its kind, and n_chars counts the new text."""
+    return pii.redact(docs).withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: token counts and digests of ids and decoded texts."""
+    return sentencepiece_bpe.encode_documents(docs, sentencepiece_bpe.default_model())
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("pii", redact_pii),
+    ("sentencepiece", encode),
+]
+#: SQL can't express the stages' models and tokeniser.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; what is between them is written to the shared folder."""
+    scratch = Scratch(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.write(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
