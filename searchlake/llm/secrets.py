@@ -32,13 +32,15 @@ TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 MIN_TOKEN = 16
 #: Rows in the labelled sample; bounds on the log-likelihood ratio in all and per character.
 SAMPLE_ROWS, MIN_TOTAL, MIN_MEAN = 2000, 12.0, 0.6
-IDENTIFIERS = (
-    "get_user_account_by_email setConfigurationProperty maximum_connection_count java/lang/StringBuilder "
-    "application_context_initializer handleRequestAuthentication number_of_partitions usr/local/share/doc "
-    "content-disposition-attachment TransactionManagerFactory default_checkpoint_directory is_deterministic "
-    "internationalization AbstractSingletonProxyFactoryBean incremental_statistics_builder 2024-01-01_daily_report "
-    "release-candidate-2-final com/example/service/impl shuffle_partition_coalescing responsibility "
-    "thisShouldBeAnOrdinaryName __init_subclass_hook__ image_preview_thumbnail_large order_line_item_total"
+WORDS = (
+    "get set user account by email configuration property maximum connection count java lang string builder application "
+    "context initializer handle request authentication number of partitions local share content disposition attachment "
+    "transaction manager factory default checkpoint directory is deterministic international abstract proxy incremental "
+    "statistics release candidate final service implementation shuffle coalescing responsibility ordinary name image "
+    "preview thumbnail large order line item total index document query search result filter sort page size offset time "
+    "stamp date year month file path stream reader writer buffer cache memory thread pool queue message event listener "
+    "callback error exception status code response server client host port network protocol session token parser lexer "
+    "table column row key value map list array object class method function parameter argument return type value test"
 ).split()
 
 
@@ -72,7 +74,7 @@ def count(tokens: Iterable[str]) -> np.ndarray:
     return counts
 
 
-def _log_probabilities(counts: np.ndarray, smoothing: float = 0.5) -> np.ndarray:
+def _log_probabilities(counts: np.ndarray, smoothing: float = 0.3) -> np.ndarray:
     counts = counts.copy()
     counts[:, _codes("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")] += smoothing
     with np.errstate(divide="ignore"):
@@ -85,6 +87,19 @@ def random_strings(n: int, seed: int = 7) -> list[str]:
     return ["".join(pick.choices(kinds[i % len(kinds)], k=pick.randint(16, 48))) for i in range(n)]
 
 
+def identifiers(n: int, seed: int = 8) -> list[str]:
+    """Names made of words, in the usual styles."""
+    pick = random.Random(seed)
+    out = []
+    for i in range(n):
+        words = pick.choices(WORDS, k=pick.randint(2, 5))
+        join = ("_", "-", "/", "")[i % 4]
+        out.append(join.join(words) if join else words[0] + "".join(w.capitalize() for w in words[1:]))
+        if i % 7 == 0:
+            out[-1] += str(pick.randint(0, 2030))
+    return out
+
+
 class RatioModel:
     """Log-likelihood ratio of a random string against an ordinary identifier."""
 
@@ -116,7 +131,7 @@ def fit(docs: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str
 
     Pairs of characters are counted on the executors; the driver gets at most 2 x 128 x 128 sums.
     """
-    counts = np.stack((count(random_strings(3000)), count(IDENTIFIERS)))
+    counts = np.stack((count(random_strings(3000)), count(identifiers(3000))))
     if docs is not None:
         chosen = docs.select(F.col(id_col).alias("__id")).where("__id is not null").distinct().orderBy(F.xxhash64("__id"), "__id").limit(rows)
         own = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).join(F.broadcast(chosen), "__id").select("__text")
