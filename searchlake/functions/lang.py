@@ -7,12 +7,12 @@ Finnish, Hungarian, Polish, Romanian, Turkish) have their stop words only.
 
 from __future__ import annotations
 
+import pkgutil
 import re
 import unicodedata
 from collections.abc import Callable, Iterable
 from dataclasses import replace
 from functools import lru_cache
-from pathlib import Path
 
 Stemmer = Callable[[str], str]
 
@@ -20,7 +20,7 @@ Stemmer = Callable[[str], str]
 @lru_cache
 def _lists() -> dict[tuple[str, str], frozenset[str]]:
     found = {}
-    for line in (Path(__file__).parent / "stopwords.txt").read_text(encoding="utf-8").splitlines():
+    for line in (pkgutil.get_data("searchlake.functions", "stopwords.txt") or b"").decode().splitlines():
         if line and not line.startswith("#"):
             head, words = line.split(": ", 1)
             kind, code = head.split()
