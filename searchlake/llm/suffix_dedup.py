@@ -78,10 +78,6 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 _digest = xxhash.xxh3_64_intdigest
 
 
-def _signed(values: list[int]) -> pa.Array:
-    return pa.array(np.array(values, np.uint64).view(np.int64))
-
-
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[list[np.ndarray]] = [[] for _ in range(6)]
@@ -100,37 +96,66 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["rk", "lo", "hi", "x", "h", "c"])
 
 
+#: Rows that a task holds before it hands them on.
+ROWS = 50_000
+
+
+def _lists(column: pa.ListArray) -> Iterator[dict[str, list[int]]]:
+    """The structs of each row's list, field by field, one row in Python at a time."""
+    offsets, values = column.offsets.to_numpy(), column.values
+    fields = {f.name: values.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(values.type)}
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        yield {name: v[a:b].tolist() for name, v in fields.items()}
+
+
+def _out(columns: list[list], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    """A batch of integer columns; unsigned hashes become signed."""
+    arrays = []
+    for values, kind in zip(columns, kinds, strict=True):
+        if kind == pa.int64():
+            values = [v if v is None or v < 1 << 63 else v - (1 << 64) for v in values]
+        arrays.append(pa.array(values, kind))
+    return pa.RecordBatch.from_arrays(arrays, names=names)
+
+
+_RUN_NAMES = ["h", "run", "core", "span", "rk", "lo", "hi", "n", "from", "to"]
+_RUN_KINDS = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of offsets of the contexts of a text: bucket, run, hashes of the common and of all bytes."""
+    rows: list[tuple] = []
     for batch in batches:
-        out: list[list] = [[] for _ in range(10)]
-        for key, value, contexts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+        for key, value, q in zip(batch.column(0).to_pylist(), batch.column(1), _lists(batch.column(2)), strict=True):
             text = value.as_py()
-            for q in contexts:
-                x, lo, hi = q["x"], q["lo"], q["hi"]
+            for h, n, lo, hi, x in zip(q["h"], q["n"], q["lo"], q["hi"], q["x"], strict=True):
                 for run in range((x - hi) // STEP, (x - lo) // STEP + 1):
                     near, far = run * STEP, min(run * STEP + STEP - 1, LENGTH - GRAM)
                     a, b = x - far, x - near + LENGTH
                     inside = a >= 0 and b <= len(text)
-                    row = (q["h"], run, _digest(text[x - near : a + LENGTH]), _digest(text[a:b]) if inside else None, key, max(lo, a), min(hi, x - near), q["n"], a, x - near)
-                    for column, v in zip(out, row, strict=True):
-                        column.append(v)
-        spans = pa.array([None if v is None else v - (1 << 64) * (v >> 63) for v in out[3]], pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), _signed(out[2]), spans, pa.array(out[4], pa.int64()), pa.array(out[5], pa.int32()), pa.array(out[6], pa.int32()), pa.array(out[7], pa.int64()), pa.array(out[8], pa.int32()), pa.array(out[9], pa.int32())],
-            names=["h", "run", "core", "span", "rk", "lo", "hi", "n", "from", "to"],
-        )
+                    rows.append((h, run, _digest(text[x - near : a + LENGTH]), _digest(text[a:b]) if inside else None, key, max(lo, a), min(hi, x - near), n, a, x - near))
+            if len(rows) >= ROWS:
+                yield _out(list(zip(*rows, strict=True)), _RUN_KINDS, _RUN_NAMES)
+                rows = []
+    if rows:
+        yield _out(list(zip(*rows, strict=True)), _RUN_KINDS, _RUN_NAMES)
+
+
+_WINDOW_NAMES, _WINDOW_KINDS = ["h", "w", "rk", "lo", "n"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows: list[tuple] = []
     for batch in batches:
-        for key, value, runs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+        for key, value, q in zip(batch.column(0).to_pylist(), batch.column(1), _lists(batch.column(2)), strict=True):
             text = value.as_py()
-            at = [(q["h"], i, q["n"], q["x"] - i) for q in runs for i in range(q["lo"], q["hi"] + 1)]
-            if at:
-                h, i, n, offset = zip(*at, strict=True)
-                w = _signed([_digest(text[p : p + LENGTH], seed=o) for p, o in zip(i, offset, strict=True)])
-                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), w, pa.array([key] * len(at), pa.int64()), pa.array(i, pa.int32()), pa.array(n, pa.int64())], names=["h", "w", "rk", "lo", "n"])
+            for h, n, lo, hi, x in zip(q["h"], q["n"], q["lo"], q["hi"], q["x"], strict=True):
+                rows += [(h, _digest(text[p : p + LENGTH], seed=x - p), key, p, n) for p in range(lo, hi + 1)]
+            if len(rows) >= ROWS:
+                yield _out(list(zip(*rows, strict=True)), _WINDOW_KINDS, _WINDOW_NAMES)
+                rows = []
+    if rows:
+        yield _out(list(zip(*rows, strict=True)), _WINDOW_KINDS, _WINDOW_NAMES)
 
 
 def removed_intervals(keyed: DataFrame, scratch: Scratch) -> DataFrame:
@@ -196,11 +221,11 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for value, cuts in zip(batch.column(1), batch.column(2), strict=True):
+            for value, cuts in zip(batch.column(1), _lists(batch.column(2)), strict=True):
                 text = value.as_py()
                 kept, at, removed, spans = [], 0, 0, 0
                 end = None
-                for lo, hi in zip(cuts.values.field("lo").to_pylist(), cuts.values.field("end").to_pylist(), strict=True) if cuts.is_valid else ():
+                for lo, hi in zip(cuts["lo"], cuts["end"], strict=True):
                     if end is None or lo > end:
                         if end is not None:
                             at = end
