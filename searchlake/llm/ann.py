@@ -2,8 +2,10 @@
 
 Coarse centroids and residual codebooks are fitted on a bounded sample (SAMPLE_ROWS rows
 with the smallest hashes of their ids); every row is indexed: its nearest centroid's list,
-the codes of its residual and its vector. A query visits the PROBES nearest lists (more if
-they hold too few rows), ranks a list's rows by asymmetric distances (table look-ups of
+the codes of its residual and its vector. How many lists a query visits is measured on the
+sample: as many as hold TARGET of the nearest neighbours of TRIALS sample rows (vectors
+without clusters need many lists, clustered ones few). A query visits the nearest lists
+(more if they hold too few rows), ranks a list's rows by asymmetric distances (table look-ups of
 the query's residual), and computes exact double-precision distances for the best RERANK
 of each block. A query's blocks are merged by distance, ties by the smaller id.
 
@@ -27,7 +29,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE_ROWS, ITERATIONS = 20_000, 12
-PROBES, RERANK, BLOCK_ROWS, MAX_LISTS = 48, 256, 32_768, 4096
+RERANK, BLOCK_ROWS, MAX_LISTS = 256, 32_768, 4096
+#: Share of true neighbours whose lists have to be visited, and sample rows that measure it.
+TARGET, TRIALS = 0.96, 400
 CODES, SUBSPACE = 256, 4
 
 
@@ -72,6 +76,21 @@ class Quantiser:
         self.cuts = list(range(0, sample.shape[1], SUBSPACE))
         self.books = [kmeans(rest[:8192, c : c + SUBSPACE], CODES, 2 + c) for c in self.cuts]
 
+    def probes(self, sample: np.ndarray, k: int) -> int:
+        """The number of lists that hold TARGET of the neighbours within the sample, which are
+        farther off than those among all rows, so it errs on the side of more lists."""
+        trials = np.linspace(0, len(sample) - 1, min(TRIALS, len(sample))).astype(np.int64)
+        if len(sample) < 2:
+            return 1
+        far = squared(sample[trials], sample)
+        far[np.arange(len(trials)), trials] = np.inf
+        near = np.argsort(far, axis=1, kind="stable")[:, : min(k, len(sample) - 1)]
+        order = np.argsort(squared(sample[trials], self.centres), axis=1)
+        place = np.empty_like(order)
+        np.put_along_axis(place, order, np.arange(order.shape[1])[None, :], axis=1)
+        ranks = np.take_along_axis(place, nearest(sample, self.centres)[near], axis=1)
+        return int(np.quantile(ranks, TARGET, method="higher")) + 1
+
     def encode(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cells = nearest(points, self.centres)
         rest = points - self.centres[cells]
@@ -87,7 +106,7 @@ class Quantiser:
         return out
 
 
-def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, query_every: int = 100, probes: int = PROBES) -> DataFrame:
+def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, query_every: int = 100, probes: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by query_every, the
     k nearest other rows found, by Euclidean distance."""
     from searchlake.llm.common import Scratch
@@ -100,7 +119,10 @@ def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "emb
     out = "query_id long, rank int, vec_id long, score double"
     if not sample:
         return spark.createDataFrame([], out)
-    model = Quantiser(np.array([r["v"] for r in sample]), int(min(MAX_LISTS, max(1, round(n**0.5)), len(sample))))
+    points = np.array([r["v"] for r in sample])
+    model = Quantiser(points, int(min(MAX_LISTS, max(1, round(n**0.5)), len(sample))))
+    probes = probes or model.probes(points, k)
+    del points
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
