@@ -49,7 +49,7 @@ def possessive(s: str) -> str:
     return s[:-2] if len(s) >= 2 and s[-1] in "sS" and s[-2] in "'’＇" else s
 
 
-_S_KEPT = {"shoes", "canoes", "oboes", "cliches", "avalanches", "mustaches", "moustaches", "quiches", "headaches", "heartaches", "porsches", "tranches", "caches"}
+_S_KEPT = frozenset("avalanches caches canoes cliches headaches heartaches moustaches mustaches oboes porsches quiches shoes tranches".split())
 
 
 def english_plural(s: str) -> str:
