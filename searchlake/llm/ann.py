@@ -10,8 +10,9 @@ the query's residual), and computes exact double-precision distances for the bes
 of each block. A query's blocks are merged by distance, ties by the smaller id.
 
 Distribution. Lists are split into blocks of at most about BLOCK_ROWS rows by a hash of
-the id, so a hot list is many tasks; a query is sent to each block of the lists it visits.
-A block receives its rows once and its queries in chunks; what it returns is k rows a query.
+the id, so a hot list is many tasks; queries are split into chunks of about QUERY_ROWS by a
+hash of theirs. A task holds one block and the queries of one chunk that visit it; what it
+returns is k rows a query.
 
 Cases: null ids, and vectors that are null, zero, of another length than the most common
 one, or hold null or non-finite components take no part; rows that repeat an id count once
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE_ROWS, ITERATIONS = 20_000, 12
-RERANK, BLOCK_ROWS, MAX_LISTS = 256, 32_768, 4096
+RERANK, BLOCK_ROWS, QUERY_ROWS, MAX_LISTS = 256, 32_768, 8192, 4096
 #: Share of true neighbours whose lists have to be visited, and sample rows that measure it.
 TARGET, TRIALS = 0.96, 400
 CODES, SUBSPACE = 256, 4
@@ -167,8 +168,11 @@ def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "emb
         return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
     parts = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("cell") + 1) if (blocks > 1).any() else F.lit(1)
-    own = index.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
-    asked = rows.where(F.pmod("id", F.lit(query_every)) == 0).mapInPandas(visit, "id long, cell int, part int, v binary")
-    met = own.groupBy("cell", "part").cogroup(asked.groupBy("cell", "part")).applyInPandas(best, "query_id long, vec_id long, score double")
+    queries = rows.where(F.pmod("id", F.lit(query_every)) == 0)
+    chunks = max(1, -(-queries.count() // QUERY_ROWS))
+    own = index.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    asked = queries.mapInPandas(visit, "id long, cell int, part int, v binary").withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int"))
+    by = ("cell", "part", "chunk")
+    met = own.groupBy(*by).cogroup(asked.groupBy(*by)).applyInPandas(best, "query_id long, vec_id long, score double")
     ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -117,6 +117,7 @@ def test_ann_recall_and_odd_vectors(spark):
 
 def test_ann_blocks(spark, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(ann, "QUERY_ROWS", 2)
     df = spark.read.parquet(f"{SF}/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in df.collect()]
     want = brute_search(rows)
