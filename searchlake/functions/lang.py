@@ -1,8 +1,8 @@
 """Language components: stop words, normalisers and stemmers, and the analyzers made of them.
 
 Stemmers follow the published algorithms (Porter, Snowball, the light stemmers of Savoy and
-their kin), written as suffix tables. Languages whose stemmer isn't written yet (Dutch,
-Finnish, Hungarian, Polish, Romanian, Turkish) have their stop words only.
+their kin), written as suffix tables. Languages whose stemmer isn't written yet (Finnish,
+Hungarian, Polish, Romanian, Turkish) have their stop words only.
 """
 
 from __future__ import annotations
@@ -290,6 +290,58 @@ def german(s: str) -> str:
     return _plain("äöü")(s.replace("U", "u").replace("Y", "y"))
 
 
+# --- Dutch --------------------------------------------------------------------------------
+
+_NL_V = "aeiouyè"
+
+
+def dutch(s: str) -> str:
+    """The Snowball Dutch stemmer."""
+    s = _plain("äëïöüáéíóú")(s)
+    s = re.sub(f"(^|[{_NL_V}])y", r"\1Y", s)
+    s = re.sub(f"(?<=[{_NL_V}])i(?=[{_NL_V}])", "I", s)
+    r1, r2 = _regions(s, _NL_V)
+    r1 = max(r1, 3)
+
+    def undouble(t: str) -> str:
+        return t[:-1] if t.endswith(("kk", "dd", "tt")) else t
+
+    def drop_en(t: str, end: str) -> str:
+        rest = t[: -len(end)]
+        return undouble(rest) if len(rest) >= r1 and rest and rest[-1] not in _NL_V and not rest.endswith("gem") else t
+
+    def drop_e(t: str) -> tuple[str, bool]:
+        fits = t.endswith("e") and len(t) - 1 >= r1 and len(t) > 1 and t[-2] not in _NL_V
+        return (undouble(t[:-1]), True) if fits else (t, False)
+
+    end = _ends(s, ("heden", "en", "ene", "s", "se"))
+    if end == "heden" and len(s) - 5 >= r1:
+        s = s[:-5] + "heid"
+    elif end in ("en", "ene"):
+        s = drop_en(s, end)
+    elif end in ("s", "se"):
+        rest = s[: -len(end)]
+        s = rest if len(rest) >= r1 and rest and rest[-1] not in _NL_V + "j" else s
+    s, dropped = drop_e(s)
+    if s.endswith("heid") and len(s) - 4 >= r2 and s[-5:-4] != "c":
+        s = s[:-4]
+        if s.endswith("en"):
+            s = drop_en(s, "en")
+    end = _ends(s, ("end", "ing", "ig", "lijk", "baar", "bar"))
+    if end and len(s) - len(end) >= r2:
+        rest = s[: -len(end)]
+        if end in ("end", "ing"):
+            s = rest[:-2] if rest.endswith("ig") and len(rest) - 2 >= r2 and rest[-3:-2] != "e" else undouble(rest)
+        elif end == "ig":
+            s = rest if not rest.endswith("e") else s
+        elif end == "lijk":
+            s = drop_e(rest)[0]
+        elif end == "baar" or dropped:
+            s = rest
+    s = re.sub(f"(?<=[^{_NL_V}])(a|e|o|u)\\1(?=[^{_NL_V}I]$)", r"\1", s)
+    return s.replace("Y", "y").replace("I", "i")
+
+
 # --- Romance languages --------------------------------------------------------------------
 
 normalize_es = _plain("àáâäòóôöèéêëùúûüìíîï")
@@ -617,12 +669,12 @@ def cjk_bigram(unigrams: bool = False):
 
 # --- registration -------------------------------------------------------------------------
 
-SNOWBALL: dict[str, Stemmer] = {"english": english, "porter": porter, "german": german, "swedish": swedish, "norwegian": norwegian, "danish": danish, "russian": russian}
+SNOWBALL: dict[str, Stemmer] = {"english": english, "porter": porter, "german": german, "swedish": swedish, "norwegian": norwegian, "danish": danish, "russian": russian, "dutch": dutch}
 STEMMERS: dict[str, Stemmer] = {
     "stemmer_porter": porter, "stemmer_en_snowball": english, "stemmer_en_plural": english_plural, "stemmer_de_light": german_light,
     "stemmer_de_snowball": german, "stemmer_es_light": spanish_light, "stemmer_it_light": italian_light, "stemmer_fr_light": french_light,
     "stemmer_fr_min": french_minimal, "stemmer_pt_light": portuguese_light, "stemmer_sv_snowball": swedish, "stemmer_no_snowball": norwegian,
-    "stemmer_da_snowball": danish, "stemmer_ru_snowball": russian, "stemmer_ar": arabic, "stemmer_ckb": sorani, "stemmer_hi": hindi,
+    "stemmer_da_snowball": danish, "stemmer_ru_snowball": russian, "stemmer_ar": arabic, "stemmer_ckb": sorani, "stemmer_hi": hindi, "stemmer_nl_snowball": dutch,
 }
 NORMALIZERS = {"normalize_de": normalize_de, "normalize_es": normalize_es, "normalize_ar": normalize_ar, "normalize_fa": normalize_fa, "normalize_ckb": normalize_ckb, "normalize_hi": normalize_hi, "normalize_in": normalize_in, "possessive_en": possessive, "cjk_width": cjk_width}
 
@@ -634,6 +686,7 @@ CHAINS: dict[str, tuple[tuple[str, ...], str, tuple[str, ...]]] = {
     "fr": ((), "unicode", (_LOWER, "elision_fr", "stop_fr", "stemmer_fr_light")),
     "it": ((), "unicode", (_LOWER, "elision_it", "stop_it", "stemmer_it_light")),
     "pt": ((), "unicode", (_LOWER, "stop_pt", "stemmer_pt_light")),
+    "nl": ((), "unicode", (_LOWER, "stop_nl", "stemmer_nl_snowball")),
     "sv": ((), "unicode", (_LOWER, "stop_sv", "stemmer_sv_snowball")),
     "no": ((), "unicode", (_LOWER, "stop_no", "stemmer_no_snowball")),
     "da": ((), "unicode", (_LOWER, "stop_da", "stemmer_da_snowball")),

@@ -577,3 +577,6 @@ def search_hits(index: Index, q: Query, **options: Any) -> DataFrame:
     return Compiler(index, **options).hits(q)
 
 
+def member_hits(members: list[Index], q: Query, **options: Any) -> DataFrame:
+    """Hits of several indexes, each scored by its own statistics."""
+    return reduce(DataFrame.unionAll, [Compiler(m, **options).hits(q).select("doc_id", "score") for m in members])

@@ -84,6 +84,7 @@ STEMS = [
     (lang.english, "skies dying consistently generously happily running", "sky die consist generous happili run"),
     (lang.english_plural, "boxes ponies glass cats shoes", "box pony glass cat shoe"),
     (lang.german, "häuser aufeinander kategorischen", "haus aufeinand kategor"),
+    (lang.dutch, "lichaamszwakheden opgravingen vorige lezen bomen", "lichaamszwak opgrav vorig lez bom"),
     (lang.spanish_light, "chicana chicanos veces", "chican chican vez"),
     (lang.italian_light, "ragazzo ragazzi", "ragazz ragazz"),
     (lang.french_light, "chevaux nationale faible", "cheval national faibl"),

@@ -5,7 +5,7 @@ import json
 import pytest
 
 from searchlake.operators.search import Searcher, SearchRequest, search
-from searchlake.plans.compiler import Compiler
+from searchlake.plans.compiler import Compiler, member_hits
 from searchlake.plans.query import QueryError, parse
 from searchlake.sources.index import Index, Store, alias, synonym_table
 from searchlake.sources.mapping import IndexMapping
@@ -177,6 +177,9 @@ def test_alias(spark):
     both = alias(one, two, names=["one", "two"])
     assert ids(both, {"match": "x"}) == ["a", "b"] and both.count == 3
     assert {r["index"] for r in both.docs.collect()} == {"one", "two"}
+    own = {r.doc_id: r.score for r in member_hits([one, two], parse({"match": "x"})).collect()}
+    shared = {r.doc_id: r.score for r in Compiler(both).hits(parse({"match": "x"})).collect()}
+    assert own.keys() == shared.keys() == {"a", "b"} and own["b"] != pytest.approx(shared["b"])
 
 
 COMPANY = {"default_mapping": {"properties": {"teams": {"nested": True, "properties": {"people": {"nested": True}}}}}}
