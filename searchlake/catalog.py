@@ -186,37 +186,37 @@ def q_term_range(spark, d):
     return found(documents(spark, d), {"min": "thea", "max": "theb", "field": "text"})
 
 
-@register("q_numeric_range", "SELECT doc_id, 1.0 AS score FROM documents WHERE n_chars >= 500 AND n_chars < 2000")
+@register("q_numeric_range", "SELECT doc_id, 1.0::DOUBLE AS score FROM documents WHERE n_chars >= 500 AND n_chars < 2000")
 def q_numeric_range(spark, d):
     return found(documents(spark, d), {"min": 500, "max": 2000, "field": "n_chars"})
 
 
-@register("q_date_range", "SELECT event_id, 1.0 AS score FROM events WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-20 12:00:00'")
+@register("q_date_range", "SELECT event_id, 1.0::DOUBLE AS score FROM events WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-20 12:00:00'")
 def q_date_range(spark, d):
     return found(events(spark, d), {"start": "2024-01-10", "end": "2024-01-20T12:00:00Z", "field": "ts"}, id_name="event_id")
 
 
-@register("q_bool_field", "SELECT event_id, 1.0 AS score FROM events WHERE value > 50")
+@register("q_bool_field", "SELECT event_id, 1.0::DOUBLE AS score FROM events WHERE value > 50")
 def q_bool_field(spark, d):
     return found(events(spark, d), {"bool": True, "field": "large"}, id_name="event_id")
 
 
-@register("q_ip_range", "SELECT event_id, 1.0 AS score FROM events WHERE event_id % 16777216 BETWEEN 256 AND 511")
+@register("q_ip_range", "SELECT event_id, 1.0::DOUBLE AS score FROM events WHERE event_id % 16777216 BETWEEN 256 AND 511")
 def q_ip_range(spark, d):
     return found(events(spark, d), {"cidr": "10.0.1.0/24", "field": "ip"}, id_name="event_id")
 
 
-@register("q_doc_ids", "SELECT doc_id, 1.0 AS score FROM documents WHERE doc_id IN (1, 3, 5, 700)")
+@register("q_doc_ids", "SELECT doc_id, 1.0::DOUBLE AS score FROM documents WHERE doc_id IN (1, 3, 5, 700)")
 def q_doc_ids(spark, d):
     return found(documents(spark, d), {"ids": ["1", "3", "5", "700"]})
 
 
-@register("q_match_all", "SELECT doc_id, 1.0 AS score FROM documents")
+@register("q_match_all", "SELECT doc_id, 1.0::DOUBLE AS score FROM documents")
 def q_match_all(spark, d):
     return found(documents(spark, d), {"match_all": {}})
 
 
-@register("q_match_none", "SELECT doc_id, 1.0 AS score FROM documents WHERE false")
+@register("q_match_none", "SELECT doc_id, 1.0::DOUBLE AS score FROM documents WHERE false")
 def q_match_none(spark, d):
     return found(documents(spark, d), {"match_none": {}})
 
@@ -256,12 +256,12 @@ def q_boolean(spark, d):
     return found(documents(spark, d), {"must": {"conjuncts": [_t("the")]}, "should": {"disjuncts": [_t("of"), _t("was")], "min": 0}, "must_not": {"disjuncts": [_t("und")]}, "filter": {"min": 400, "field": "n_chars"}})
 
 
-@register("q_must_not_only", f"WITH {TOK} SELECT doc_id, 1.0 AS score FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM post WHERE term = 'the')")
+@register("q_must_not_only", f"WITH {TOK} SELECT doc_id, 1.0::DOUBLE AS score FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM post WHERE term = 'the')")
 def q_must_not_only(spark, d):
     return found(documents(spark, d), {"must_not": {"disjuncts": [_t("the")]}})
 
 
-@register("q_filter_only", "SELECT doc_id, 1.0 AS score FROM documents WHERE lang = 'de'")
+@register("q_filter_only", "SELECT doc_id, 1.0::DOUBLE AS score FROM documents WHERE lang = 'de'")
 def q_filter_only(spark, d):
     return found(documents(spark, d), {"filter": {"term": "de", "field": "lang"}})
 
@@ -285,7 +285,7 @@ def q_phrase_gap(spark, d):
     return found(documents(spark, d), {"terms": ["the", "", "and"], "field": "text"})
 
 
-@register("q_multi_phrase", f"WITH {TOK} SELECT DISTINCT a.doc_id, 0.0 AS score FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term IN ('of', 'in') AND b.term IN ('the', 'that')")
+@register("q_multi_phrase", f"WITH {TOK} SELECT DISTINCT a.doc_id, 0.0::DOUBLE AS score FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term IN ('of', 'in') AND b.term IN ('the', 'that')")
 def q_multi_phrase(spark, d):
     return found(documents(spark, d), {"terms": [["of", "in"], ["the", "that"]], "field": "text"}, score=False)
 
@@ -311,7 +311,7 @@ def q_bm25_mean_length(spark, d):
 LON, LAT = "(event_id * 37 % 36000 / 100.0 - 180)", "(event_id * 17 % 18000 / 100.0 - 90)"
 
 
-@register("q_geo_box", f"SELECT event_id, 1.0 AS score FROM events WHERE {LAT} BETWEEN -10.000001 AND 20.000001 AND ({LON} >= 169.999999 OR {LON} <= -149.999999)")
+@register("q_geo_box", f"SELECT event_id, 1.0::DOUBLE AS score FROM events WHERE {LAT} BETWEEN -10.000001 AND 20.000001 AND ({LON} >= 169.999999 OR {LON} <= -149.999999)")
 def q_geo_box(spark, d):
     return found(events(spark, d), {"top_left": [170, 20], "bottom_right": [-150, -10], "field": "place"}, id_name="event_id")
 
@@ -324,12 +324,12 @@ def haversine_sql(lon: float, lat: float) -> str:
     return f"2 * sqrt(({top}) / (({a} * cos({m})) ** 2 + ({b} * sin({m})) ** 2)) * asin(least(1.0, sqrt({h})))"
 
 
-@register("q_geo_distance", f"SELECT event_id, 1.0 AS score FROM events WHERE {haversine_sql(10.0, 50.0)} <= 1500")
+@register("q_geo_distance", f"SELECT event_id, 1.0::DOUBLE AS score FROM events WHERE {haversine_sql(10.0, 50.0)} <= 1500")
 def q_geo_distance(spark, d):
     return found(events(spark, d), {"location": [10, 50], "distance": "1500km", "field": "place"}, id_name="event_id")
 
 
-@register("q_geo_polygon", f"SELECT event_id, 1.0 AS score FROM events WHERE {LAT} > 0 AND {LAT} <= 40 AND {LON} > -20.0 + {LAT} / 2.0 AND {LON} < 60.0 - {LAT} / 2.0")
+@register("q_geo_polygon", f"SELECT event_id, 1.0::DOUBLE AS score FROM events WHERE {LAT} > 0 AND {LAT} <= 40 AND {LON} > -20.0 + {LAT} / 2.0 AND {LON} < 60.0 - {LAT} / 2.0")
 def q_geo_polygon(spark, d):
     points = [[-20.0, 0.0], [60.0, 0.0], [40.0, 40.0], [0.0, 40.0]]
     own = found(events(spark, d), {"polygon_points": points, "field": "place"}, id_name="event_id")
@@ -339,7 +339,7 @@ def q_geo_polygon(spark, d):
     return own.join(inner.select("event_id"), "event_id", "left_semi")
 
 
-@register("q_geo_shape", f"SELECT event_id, 1.0 AS score FROM events WHERE {LAT} BETWEEN 10 AND 30 AND {LON} BETWEEN 20 AND 60")
+@register("q_geo_shape", f"SELECT event_id, 1.0::DOUBLE AS score FROM events WHERE {LAT} BETWEEN 10 AND 30 AND {LON} BETWEEN 20 AND 60")
 def q_geo_shape(spark, d):
     shape = {"type": "envelope", "coordinates": [[20, 30], [60, 10]]}
     return found(events(spark, d), {"geometry": {"shape": shape, "relation": "within"}, "field": "place"}, id_name="event_id")
@@ -565,7 +565,7 @@ def upsert_latest(spark, d):
     return table(spark, d, "events").withColumn("r", F.row_number().over(last)).where("r = 1").select("user_id", "event_id", "value")
 
 
-@register("dynamic_json_range", "SELECT event_id, 1.0 AS score FROM events WHERE CAST(json_extract(props, '$.k') AS DOUBLE) >= 20 AND CAST(json_extract(props, '$.k') AS DOUBLE) < 50")
+@register("dynamic_json_range", "SELECT event_id, 1.0::DOUBLE AS score FROM events WHERE CAST(json_extract(props, '$.k') AS DOUBLE) >= 20 AND CAST(json_extract(props, '$.k') AS DOUBLE) < 50")
 def dynamic_json_range(spark, d):
     docs = table(spark, d, "events").select(F.col("event_id").cast("string").alias("doc_id"), F.col("props").alias("source"))
     return found(Index.from_json(docs), {"min": 20, "max": 50, "field": "k"}, id_name="event_id", score=False).withColumn("score", F.lit(1.0))
