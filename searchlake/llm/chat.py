@@ -182,3 +182,21 @@ def digests(nodes: DataFrame, paths: DataFrame) -> DataFrame:
 def format_conversations(conversations: DataFrame) -> DataFrame:
     """The laid-out nodes of all trees."""
     return prefix_trees(conversations)[0]
+
+
+ORACLE_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), sized AS (
+  SELECT *, length(text) + len(regexp_extract_all(text, '\\|\[/?(?:INST|TURN)\]|</?s>')) AS n,
+         length(role) + len(regexp_extract_all(role, '\\|\[/?(?:INST|TURN)\]|</?s>')) AS r
+  FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       (3 + sum(CASE role WHEN 'user' THEN n + 15 WHEN 'assistant' THEN n + 4 ELSE n + r + 17 END))::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""

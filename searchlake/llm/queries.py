@@ -76,4 +76,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_urlfilter": urlfilter.ORACLE_SQL}
+    return {"op4_urlfilter": urlfilter.ORACLE_SQL, "op9_chat": chat.ORACLE_SQL}

@@ -147,3 +147,15 @@ def test_registered_queries_keep_contract_columns(spark):
     assert [n for n in queries.queries()] == [f"op{i}_{n}" for i, n in enumerate("pii decontaminate sentencepiece urlfilter secrets suffix_dedup simhash toxicity chat ann".split(), 1)]
     got = queries.queries()["op8_toxicity"](spark, SF)
     assert got.columns == ["doc_id", "held_out", "score", "predicted"]
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("pages", "conversations"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    got = queries.queries()[name](spark, SF).toPandas()
+    want = con.sql(queries.oracle_sql()[name]).df()[list(got.columns)]
+    key = got.columns[0]
+    got, want = (x.sort_values(key).reset_index(drop=True).fillna("") for x in (got, want))
+    assert (got.astype(str) == want.astype(str)).all(axis=None)
