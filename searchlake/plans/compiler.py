@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from searchlake.functions import geo, numeric
@@ -37,6 +37,15 @@ MAX_SLOT_TERMS = 10_000
 _LEAF = "doc_id string, leaf int, s double, n int"
 
 
+def small_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows made in the JVM; long lists go the usual way."""
+    if not rows or len(rows) > 500:
+        return spark.createDataFrame(rows, schema)
+    columns = [c.split() for c in schema.split(", ")]
+    structs = [F.struct(*[F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(row, columns, strict=True)]) for row in rows]
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*structs)))
+
+
 @dataclass
 class Node:
     """A bound query: kind is terms, expanded, constant, phrase, rows, all_of, any_of, sections or none."""
@@ -425,7 +434,7 @@ class Compiler:
                 wanted.append((x.fld, t, x.leaf, idf, 1.0 if norm is None else b * idf * norm))
         for fld in sorted({w[0] for w in wanted}):
             own = [w[1:] for w in wanted if w[0] == fld]
-            asked = spark.createDataFrame(own, "term string, leaf int, idf double, qw double")
+            asked = small_frame(spark, own, "term string, leaf int, idf double, qw double")
             hits = self.index.postings.where((F.col("field") == fld) & F.col("term").isin(sorted({w[0] for w in own}))).select("term", "doc_id", "freq", "len").join(F.broadcast(asked), "term")
             s = self._term_score(F.col("idf"), fld) * F.col("qw") if self.score else F.lit(0.0)
             parts.append(hits.select("doc_id", "leaf", s.alias("s"), F.lit(1).alias("n")))
@@ -458,7 +467,7 @@ class Compiler:
             for t, b in alts:
                 idf = self._idf_value(self.df.get((x.fld, t), 0)) if self.score else 0.0
                 wanted.append((t, at, len(alts), idf, b * idf * norm if norm is not None else b * idf))
-        asked = self.index.spark.createDataFrame(wanted, "term string, slot int, alts int, idf double, qw double")
+        asked = small_frame(self.index.spark, wanted, "term string, slot int, alts int, idf double, qw double")
         rows = self.index.postings.where((F.col("field") == x.fld) & F.col("term").isin(sorted({w[0] for w in wanted}))).join(F.broadcast(asked), "term")
         s = self._term_score(F.col("idf"), x.fld) * F.col("qw") if self.score else F.lit(0.0)
         rows = rows.select("doc_id", "slot", "alts", s.alias("s"), "locs").repartition("doc_id")
