@@ -83,12 +83,18 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list[np.ndarray]] = [[] for _ in range(6)]
         for key, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             text = value.as_py()
-            for at in range(0, len(text) - LENGTH + 1, PIECE):
-                piece = text[at : at + PIECE + LENGTH - 1]
-                x, lo, hi, h = anchors(np.frombuffer(piece, np.uint8))
-                c = [_digest(piece[a : b + LENGTH], seed=y - a) for y, a, b in zip(x.tolist(), lo.tolist(), hi.tolist(), strict=True)]
-                for column, part in zip(out, (np.full(len(x), key), lo + at, hi + at, x + at, h.view(np.int64), np.array(c, np.uint64).view(np.int64)), strict=True):
-                    column.append(part)
+            starts = range(0, len(text) - LENGTH + 1, PIECE)
+            if not starts:
+                continue
+            parts = [(at, *anchors(np.frombuffer(text[at : at + PIECE + LENGTH - 1], np.uint8))) for at in starts]
+            x, lo, hi = (np.concatenate([p[i] + p[0] for p in parts]) for i in (1, 2, 3))
+            h = np.concatenate([p[4] for p in parts])
+            # windows on both sides of a cut may have the same anchor: that is one row, not a repeat
+            first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+            x, lo, hi, h = x[first], lo[first], hi[np.append(first[1:], len(x)) - 1], h[first]
+            c = [_digest(text[a : b + LENGTH], seed=y - a) for y, a, b in zip(x.tolist(), lo.tolist(), hi.tolist(), strict=True)]
+            for column, part in zip(out, (np.full(len(x), key), lo, hi, x, h.view(np.int64), np.array(c, np.uint64).view(np.int64)), strict=True):
+                column.append(part)
         if out[0]:
             columns = [np.concatenate(c) for c in out]
             for i in (1, 2, 3):

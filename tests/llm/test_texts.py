@@ -172,6 +172,30 @@ def test_suffix_dedup_pieces(monkeypatch, spark):
     assert lo[0] == 0 and hi[-1] == len(a) - 200 and (lo[1:] == hi[:-1] + 1).all() and (x >= hi).all() and (x <= lo + 168).all()
 
 
+def test_suffix_dedup_long_texts(spark):
+    cut, pick = suffix_dedup.PIECE, random.Random(5)
+    unique = "".join(pick.choices("abcdefghijklmnop", k=2 * cut + 5000))
+    passage = "".join(pick.choices("abcdefghijklmnop", k=700))
+    crossed = unique[5000 : cut + 4700][::-1] + passage + unique[:3000][::-1]  # the passage lies over a cut
+    rows = [(1, unique), (2, crossed), (3, "before " + passage + " after"), (4, crossed[-900:] + "z")]
+    got = {r.doc_id: r for r in suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    counts = {}
+    for _, t in rows:
+        for p in range(len(t) - 199):
+            w = hash(t[p : p + 200])
+            counts[w] = counts.get(w, 0) + 1
+    for i, t in rows:
+        cover = np.zeros(len(t) + 1, int)
+        for p in range(len(t) - 199):
+            if counts[hash(t[p : p + 200])] > 1:
+                cover[p] += 1
+                cover[p + 200] -= 1
+        gone = np.cumsum(cover)[:-1] > 0
+        rest = "".join(c for c, g in zip(t, gone, strict=True) if not g)
+        assert (got[i].n_removed, got[i].kept_sha256) == (gone.sum(), hashlib.sha256(rest.encode()).hexdigest())
+    assert got[1].n_removed == 0 and got[3].n_removed == 700
+
+
 def components(prints):
     apart = np.bitwise_count(prints[:, None] ^ prints[None, :])
     label = np.arange(len(prints))
