@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from searchlake.operators import facets as facet_ops
 from searchlake.operators import highlight, sorting, vectors
-from searchlake.plans.compiler import Compiler
+from searchlake.plans.compiler import Compiler, small_frame
 from searchlake.plans.query import Query, parse
 from searchlake.sources.index import ALL, Index
 
@@ -120,13 +120,14 @@ class Searcher:
         by: dict[str, dict[str, list]] = {}
         for r in sorted(rows, key=lambda r: r["ap"]):
             by.setdefault(r["doc_id"], {}).setdefault(r["field"], []).append(r)
-        terms = self.query_terms(request.query)
+        marked = request.highlight is not None or request.locations
+        terms = self.query_terms(request.query, self._page_terms(rows)) if marked else {}
         for h in found:
             own = by.get(h["id"], {})
             if request.fields:
                 picked = own if "*" in request.fields else {f: own[f] for f in request.fields if f in own}
                 h["fields"] = {f: _plain(rs[0]) if len(rs) == 1 else [_plain(r) for r in rs] for f, rs in picked.items()}
-            if request.highlight is not None or request.locations:
+            if marked:
                 self._mark(request, h, own, terms)
 
     def _mark(self, request: SearchRequest, h: dict, own: dict[str, list], terms: dict[str, set[str]]) -> None:
@@ -148,15 +149,30 @@ class Searcher:
             if request.highlight is not None and (f in asked if asked else matched):
                 h["fragments"][f] = highlight.best(texts, wanted, style=style)
 
-    def query_terms(self, q: Query) -> dict[str, set[str]]:
-        """The index terms a query looks for, by field; expansions are read from the dictionary."""
+    def _page_terms(self, rows: list) -> dict[str, set[str]]:
+        """The terms of the page's stored texts, by field."""
+        registry = self.index.mapping.registry()
+        out: dict[str, set[str]] = {ALL: set()}
+        for r in rows:
+            if r["kind"] == "text":
+                own = {t.term for t in registry.analyzer(r["analyzer"]).tokens(r["s"])}
+                out.setdefault(r["field"], set()).update(own)
+                out[ALL] |= own
+        return out
+
+    def query_terms(self, q: Query, within: dict[str, set[str]] | None = None) -> dict[str, set[str]]:
+        """The index terms a query looks for, by field; expansions are read from the dictionary, only terms in within if it is given."""
         compiler = Compiler(self.index, score=False, callbacks=self.callbacks)
         compiler.bind(q)
         out: dict[str, set[str]] = {}
         for x in compiler.leaves:
             own = {t for t, _ in x.terms} | {t for _, alts in x.slots for t, _ in alts}
             if x.kind == "expanded":
-                own |= {r["term"] for r in x.frame.select("term").limit(1000).collect()}
+                found = x.frame.select("term")
+                if within is not None:
+                    asked = small_frame(self.index.spark, [(t,) for t in sorted(within.get(x.fld, ()))], "term string")
+                    found = found.join(asked, "term", "left_semi")
+                own |= {r["term"] for r in found.collect()}
             if own:
                 out.setdefault(x.fld, set()).update(own)
         return out

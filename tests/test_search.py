@@ -155,6 +155,17 @@ def test_fields_and_highlight(people):
     assert hit["locations"]["name"]["path"] == [{"pos": 6, "start": 36, "end": 40, "array_positions": None}]
 
 
+def test_locations_of_large_expansions(spark):
+    words = [f"t{i:04}" for i in range(1500)]
+    index = Index.from_json(frame(spark, {"a": {"x": " ".join(words)}, "b": {"x": "other t0007", "y": "t9"}}))
+    index.docs, index.values, index.postings = index.docs.cache(), index.values.cache(), index.postings.cache()
+    for query in ({"prefix": "t", "field": "x"}, {"wildcard": "t*"}):
+        a, b = search(index, {"query": query, "sort": ["_id"], "includeLocations": True, "highlight": {}}).hits
+        assert sorted(a["locations"]["x"]) == words and list(b["locations"]["x"]) == ["t0007"]
+        assert ("y" in b["locations"]) == ("field" not in query)
+        assert b["fragments"]["x"] == ["other <mark>t0007</mark>"]
+
+
 def test_dictionary(people):
     assert [(r.term, r.df) for r in people.field_dict("tags").collect()] == [("math", 3), ("paths", 1), ("poetry", 1)]
     assert [r.term for r in people.field_dict("tags", prefix="p").collect()] == ["paths", "poetry"]
