@@ -3,7 +3,7 @@
 Texts are sequences of lower-cased word tokens (letters and digits; marks attached to
 words don't count). A seed is a mask over SPAN positions with WEIGHT of them selected; the
 hash of the selected tokens is blind to the others, so a substituted word spoils only the
-seeds that select it. Seeds of documents that equal a benchmark seed of the same mask are
+seeds that select it. Items of MIN_TOKENS tokens have masks of their own besides, as few fit. Seeds of documents that equal a benchmark seed of the same mask are
 hits. A hit fixes an alignment (a diagonal) of document and item; along it, a window of
 WINDOW tokens (the whole item if that is shorter, at least MIN_TOKENS) in which at least
 SIMILARITY of the tokens agree verifies the overlap. The result has the longest verified
@@ -23,7 +23,7 @@ read; empty tables give an empty result.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,6 +36,8 @@ from searchlake.llm.common import Scratch
 
 #: Selected positions of each mask; every mask has the same weight.
 MASKS = ((0, 1, 2, 3), (0, 1, 3, 4), (0, 2, 3, 5), (0, 1, 4, 6))
+#: Further masks for items of MIN_TOKENS tokens, whose second or fourth may be substituted.
+SHORT_MASKS = ((0, 2, 3, 4), (0, 1, 2, 4))
 WINDOW, MIN_TOKENS, SIMILARITY = 12, 5, 0.8
 BROADCAST_SEEDS = 2_000_000
 _WORD = re.compile(r"[^\W_]+")
@@ -52,7 +54,7 @@ def token_hashes(words: list[str]) -> np.ndarray:
 
 def seeds(hashes: np.ndarray, mask: int) -> np.ndarray:
     """Seed hashes of a mask at every position where it fits; masks are salted."""
-    offsets = MASKS[mask]
+    offsets = (MASKS + SHORT_MASKS)[mask]
     n = len(hashes) - offsets[-1]
     if n <= 0:
         return np.empty(0, np.uint64)
@@ -62,6 +64,11 @@ def seeds(hashes: np.ndarray, mask: int) -> np.ndarray:
     return (h ^ (h >> np.uint64(32))) * _FACTORS[0]
 
 
+def masks_for(size: int) -> range:
+    """The masks of an item of so many tokens."""
+    return range(len(MASKS) + len(SHORT_MASKS) * (size == MIN_TOKENS))
+
+
 def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int]:
     """(tokens that agree, start, end in the document) of the longest verified stretch on a diagonal."""
     a, b = max(0, diagonal), min(len(doc), len(item) + diagonal)
@@ -90,9 +97,10 @@ class Benchmark:
         self.vocabulary = {w: n + 1 for n, w in enumerate(words)}
         self.names = [i for i, _ in own]
         self.items = [np.array([self.vocabulary[w] for w in ws], np.uint64) for _, ws in own]
+        self.masks = max((masks_for(len(item)) for item in self.items), key=len, default=range(0))
         hashes, owner, place = [], [], []
         for n, item in enumerate(self.items):
-            for mask in range(len(MASKS)):
+            for mask in masks_for(len(item)):
                 h = seeds(item, mask)
                 hashes.append(h)
                 owner.append(np.full(len(h), n))
@@ -110,7 +118,7 @@ class Benchmark:
         get = self.vocabulary.get
         doc = np.array([get(w, 0) for w in tokens(text)], np.uint64)
         pairs: set[tuple[int, int]] = set()
-        for mask in range(len(MASKS)):
+        for mask in self.masks:
             h = seeds(doc, mask)
             near = np.flatnonzero(self.marks[(h >> np.uint64(44)).astype(np.int64)])
             near = near[doc[near] > 0]  # the first position is selected by every mask
@@ -151,22 +159,27 @@ def _joined_search(docs: DataFrame, items: DataFrame, id_type: str) -> DataFrame
             own = [token_hashes(tokens(t.as_py())).view(np.int64).tolist() for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.list_(pa.int64()))], names=["key", "id", "seq"])
 
-    def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for key, seq in zip(f["key"], f["seq"], strict=True):
-                own = np.asarray(seq, np.int64).view(np.uint64)
-                for mask in range(len(MASKS)):
-                    h = seeds(own, mask).view(np.int64)
-                    if len(h):
-                        yield pd.DataFrame({"key": key, "seed": h, "place": np.arange(len(h))})
-
-    def prepared(df: DataFrame, kind: str, name: str) -> tuple[DataFrame, DataFrame]:
+    def emit(masks: Callable[[int], range]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                for key, seq in zip(f["key"], f["seq"], strict=True):
+                    own = np.asarray(seq, np.int64).view(np.uint64)
+                    for mask in masks(len(own)):
+                        h = seeds(own, mask).view(np.int64)
+                        if len(h):
+                            yield pd.DataFrame({"key": key, "seed": h, "place": np.arange(len(h))})
+
+        return run
+
+    def prepared(df: DataFrame, kind: str, name: str, masks: Callable[[int], range]) -> tuple[DataFrame, DataFrame]:
         keyed = df.select(F.xxhash64(F.col("id"), F.col("text"), F.lit(name)).alias("key"), "id", "text")
         seq = scratch.write(keyed.mapInArrow(sequences, f"key long, id {kind}, seq array<long>"), name)
-        return seq, seq.select("key", "seq").mapInPandas(emit, "key long, seed long, place long")
+        return seq, seq.select("key", "seq").mapInPandas(emit(masks), "key long, seed long, place long")
 
-    test, test_seeds = prepared(items.select(F.col("item_id").alias("id"), "text"), dict(items.dtypes)["item_id"], "items")
-    train, train_seeds = prepared(docs.select(F.col("doc_id").alias("id"), "text"), id_type, "docs")
+    test, test_seeds = prepared(items.select(F.col("item_id").alias("id"), "text"), dict(items.dtypes)["item_id"], "items", masks_for)
+    short = test.where(F.size("seq") == MIN_TOKENS).limit(1).count()
+    asked = masks_for(MIN_TOKENS if short else 0)
+    train, train_seeds = prepared(docs.select(F.col("doc_id").alias("id"), "text"), id_type, "docs", lambda size: asked)
     hits = train_seeds.alias("d").join(test_seeds.alias("i"), "seed").select(F.col("d.key").alias("dk"), F.col("i.key").alias("ik"), (F.col("d.place") - F.col("i.place")).alias("diagonal")).distinct()
     both = hits.join(train.select(F.col("key").alias("dk"), F.col("id").alias("doc_id"), F.col("seq").alias("dseq")), "dk").join(test.select(F.col("key").alias("ik"), F.col("id").alias("item_id"), F.col("seq").alias("iseq")), "ik")
 

@@ -270,6 +270,18 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.contaminated(docs, items.where("false")).count() == 0
 
 
+def test_decontamination_of_five_tokens(spark):
+    words = "alpha beta gamma delta epsilon".split()
+    items = spark.createDataFrame([(7, " ".join(words)), (8, "one two three four five six seven eight")], "item_id long, text string")
+    rows = [(i, "before it " + " ".join("zzz" if n == i else w for n, w in enumerate(words)) + " after it") for i in range(6)]
+    rows.append((9, "before it alpha zzz gamma yyy epsilon after it"))
+    found = spark.createDataFrame(rows, "doc_id long, text string")
+    for bound in (decontaminate.BROADCAST_SEEDS, 0):
+        got = {tuple(r) for r in decontaminate.contaminated(found, items, broadcast_seeds=bound).collect()}
+        assert got == {(i, 7, 5, 5 if i == 5 else 4, 2, 7) for i in range(6)}
+        assert [r.doc_id for r in decontaminate.drop_contaminated(found, items, broadcast_seeds=bound).collect()] == [9]
+
+
 def test_toxicity_held_out(spark, empty):
     docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     model = toxicity.train(docs, labels.where(~toxicity.held_out("doc_id")))
