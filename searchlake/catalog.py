@@ -331,12 +331,9 @@ def q_geo_distance(spark, d):
 
 @register("q_geo_polygon", f"SELECT event_id, 1.0::DOUBLE AS score FROM events WHERE {LAT} > 0 AND {LAT} <= 40 AND {LON} > -20.0 + {LAT} / 2.0 AND {LON} < 60.0 - {LAT} / 2.0")
 def q_geo_polygon(spark, d):
-    points = [[-20.0, 0.0], [60.0, 0.0], [40.0, 40.0], [0.0, 40.0]]
-    own = found(events(spark, d), {"polygon_points": points, "field": "place"}, id_name="event_id")
-    # points on the border may fall on either side; the SQL keeps the open interior
-    place = table(spark, d, "events").select("event_id", (F.col("event_id") * 37 % 36000 / 100.0 - 180).alias("x"), (F.col("event_id") * 17 % 18000 / 100.0 - 90).alias("y"))
-    inner = place.where("y > 0 and y <= 40 and x > -20.0 + y / 2.0 and x < 60.0 - y / 2.0")
-    return own.join(inner.select("event_id"), "event_id", "left_semi")
+    # places are whole hundredths: the edges run between them, around those of the SQL
+    points = [[-19.995, 0.005], [59.995, 0.005], [39.995, 40.005], [0.005, 40.005]]
+    return found(events(spark, d), {"polygon_points": points, "field": "place"}, id_name="event_id")
 
 
 @register("q_geo_shape", f"SELECT event_id, 1.0::DOUBLE AS score FROM events WHERE {LAT} BETWEEN 10 AND 30 AND {LON} BETWEEN 20 AND 60")
