@@ -109,7 +109,7 @@ class Compiler:
     def synonyms_of(self, fld: str, term: str) -> list[str]:
         if self.index.synonyms is None:
             return []
-        found = self.index.synonyms.where(F.col("lhs") == term).select("rhs").distinct().orderBy("rhs").limit(MAX_SLOT_TERMS).collect()
+        found = self.index.synonyms.where(F.col("lhs") == term).select("rhs").distinct().orderBy("rhs").collect()
         return [r[0] for r in found]
 
     def _bind_term(self, q: Query, lenient: bool) -> Node:

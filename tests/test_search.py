@@ -182,6 +182,14 @@ def test_synonyms(spark, people):
     assert ids(people, {"match": "numbers", "field": "tags"}) == []
 
 
+def test_many_synonyms(spark):
+    from types import SimpleNamespace
+
+    table = synonym_table(spark, "x", [{"input": ["numbers"], "synonyms": [*[f"a{i:05}" for i in range(10_000)], "math"]}])
+    found = Compiler(SimpleNamespace(synonyms=table, mapping=SimpleNamespace(scoring_model="tfidf"))).synonyms_of("tags", "numbers")
+    assert len(found) == 10_001 and found[-1] == "math"
+
+
 def test_alias(spark):
     one = Index.from_json(frame(spark, {"a": {"t": "x y"}}))
     two = Index.from_json(frame(spark, {"b": {"t": "x"}, "c": {"t": "y"}}))
