@@ -1,6 +1,7 @@
 """Text operators against brute force, on small fixtures with nulls, ties and odd texts."""
 
 import hashlib
+import itertools
 import random
 import re
 
@@ -250,24 +251,65 @@ def test_simhash_links_random_balls(spark, monkeypatch):
     assert (found == components(prints)).all()
 
 
-def test_decontamination(spark, docs, empty):
-    items = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text", F.lit(1).alias("start_token"))
-    texts = {r.item_id: r.text for r in items.collect()}
+def brute_overlaps(docs, items):
+    """(row of docs, item) where a window of the item is in the document, by comparing all of them."""
+    ids = {}
+
+    def numbers(text):
+        return np.array([ids.setdefault(w, len(ids)) for w in decontaminate.tokens(text or "")], int)
+
+    texts, out = [numbers(t) for t in docs], []
+    for n, item in enumerate(map(numbers, items)):
+        w = min(12, len(item))
+        for row, doc in enumerate(texts):
+            if w and len(doc) >= w:
+                same = doc[:, None] == item[None, :]
+                total = sum(same[k : len(doc) - w + 1 + k, k : len(item) - w + 1 + k].astype(int) for k in range(w))
+                if (5 * total >= 4 * w).any():
+                    out.append((row, n))
+    return out
+
+
+def test_decontamination_equals_brute_force(spark, docs, empty):
+    given = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text")
+    texts = {r.item_id: r.text for r in given.collect()}
     words = next(t for t in texts.values() if len(t.split()) >= 30).split()
     changed = " ".join("zzz" if i % 9 == 4 else w for i, w in enumerate(words))
-    planted = spark.createDataFrame([(500, "some other words before " + " ".join(words) + "&&& after"), (501, "filler " * 30 + changed), (502, None), (503, " ".join(words[:8]) + " then unrelated text follows")], "doc_id long, text string")
-    found = decontaminate.contaminated(planted, items).collect()
-    assert {r.doc_id for r in found} == {500, 501}
-    every = docs.select("doc_id", "text").unionByName(planted)
-    small = {tuple(r) for r in decontaminate.contaminated(every, items).collect()}
-    large = {tuple(r) for r in decontaminate.contaminated(every, items, broadcast_seeds=0).collect()}
-    assert small == large
-    bad = {r[0] for r in small}
+    few = [(900, "What is the capital"), (901, "uncommonword"), (None, "an item without id"), (900, "What is the capital"), (902, None), (903, "!"), (900, "of another text")]
+    items = given.unionByName(spark.createDataFrame(few, "item_id long, text string")).withColumn("start_token", F.lit(1))
+    planted = [
+        (500, "some other words before " + " ".join(words) + "&&& after"), (501, "filler " * 30 + changed), (502, None), (503, " ".join(words[:8]) + " then unrelated text follows"),
+        (1, "one of two equal rows: what is the CAPITAL?"), (1, "one of two equal rows: what is the CAPITAL?"), (None, "uncommonword"), (None, "an item without id, uncommonword"), (None, "an item with id"),
+        (504, "what is not the capital"), (505, "uncommonword " * 3000), (506, " ".join(words) + " w" * 3000 + " " + changed),
+    ]
+    every = docs.select("doc_id", "text").unionByName(spark.createDataFrame(planted, "doc_id long, text string")).withColumn("seq", F.lit("x"))
+    rows, kinds = every.collect(), {(r.item_id, r.text) for r in items.collect()}
+    kinds = sorted(kinds, key=str)
+    brute = brute_overlaps([r.text for r in rows], [t for _, t in kinds])
+    want = sorted(str((rows[r].doc_id, kinds[i][0])) for r, i in brute)
+    assert len(want) >= 11
+    got = [decontaminate.contaminated(every, items, broadcast_seeds=bound).collect() for bound in (decontaminate.BROADCAST_SEEDS, 0)]
+    assert sorted(str(tuple(r)) for r in got[0]) == sorted(str(tuple(r)) for r in got[1])
+    assert sorted(str((r.doc_id, r.item_id)) for r in got[0]) == want
+    bad = {r for r, _ in brute}
+    clean = sorted(str((r.doc_id, r.text)) for n, r in enumerate(rows) if n not in bad)
     for bound in (decontaminate.BROADCAST_SEEDS, 0):
         kept = decontaminate.drop_contaminated(every, items, broadcast_seeds=bound)
-        assert kept.count() == every.where(F.col("doc_id").isNull() | ~F.col("doc_id").isin(list(bad))).count()
+        assert kept.columns == every.columns and sorted(str((r.doc_id, r.text)) for r in kept.collect()) == clean
     assert decontaminate.contaminated(empty, items).count() == 0
-    assert decontaminate.contaminated(docs, items.where("false")).count() == 0
+    for bound in (decontaminate.BROADCAST_SEEDS, 0):
+        assert decontaminate.contaminated(docs, items.where("false"), broadcast_seeds=bound).count() == 0
+
+
+@pytest.mark.parametrize("width", range(1, 13))
+def test_masks_are_complete(width):
+    """Whichever tokens of a window are substituted within the bound, a mask selects none of them."""
+    most = width - decontaminate.needed(width)
+    assert most == width // 5
+    fixed = [decontaminate.ALL_MASKS[m] for m in decontaminate.masks_for(width)]
+    for gone in itertools.combinations(range(width), most):
+        assert any(not set(gone) & {o + at for o in mask} for mask in fixed for at in range(width - mask[-1])), gone
+        assert any(not set(gone) & set(mask) for mask in decontaminate.window_masks(width)), gone
 
 
 def test_decontamination_of_five_tokens(spark):
@@ -277,8 +319,8 @@ def test_decontamination_of_five_tokens(spark):
     rows.append((9, "before it alpha zzz gamma yyy epsilon after it"))
     found = spark.createDataFrame(rows, "doc_id long, text string")
     for bound in (decontaminate.BROADCAST_SEEDS, 0):
-        got = {tuple(r) for r in decontaminate.contaminated(found, items, broadcast_seeds=bound).collect()}
-        assert got == {(i, 7, 5, 5 if i == 5 else 4, 2, 7) for i in range(6)}
+        got = sorted(tuple(r) for r in decontaminate.contaminated(found, items, broadcast_seeds=bound).collect())
+        assert got == [(i, 7, 5, 5 if i == 5 else 4, 2, 7) for i in range(6)]
         assert [r.doc_id for r in decontaminate.drop_contaminated(found, items, broadcast_seeds=bound).collect()] == [9]
 
 
