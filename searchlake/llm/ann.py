@@ -1,27 +1,35 @@
 """Approximate nearest neighbours: inverted file, product-quantised residuals, exact reranking.
 
 Coarse centroids and residual codebooks are fitted on a bounded sample (SAMPLE_ROWS rows
-with the smallest hashes of their ids); every row is indexed: its nearest centroid's list,
-the codes of its residual and its vector. How many lists a query visits is measured on the
-sample: as many as hold TARGET of the nearest neighbours of TRIALS sample rows (vectors
-without clusters need many lists, clustered ones few). A query visits the nearest lists
-(more if they hold too few rows), ranks a list's rows by asymmetric distances (table look-ups of
-the query's residual), and computes exact double-precision distances for the best RERANK
-of each block. A query's blocks are merged by distance, ties by the smaller id.
-
-Distribution. Lists are split into blocks of at most about BLOCK_ROWS rows by a hash of
-the id, so a hot list is many tasks; queries are split into chunks of about QUERY_ROWS by a
-hash of theirs. A task holds one block and the queries of one chunk that visit it; what it
-returns is k rows a query.
-
-Cases: null ids, and vectors that are null, zero, of another length than the most common
-one, or hold null or non-finite components take no part; rows that repeat an id count once
-(its smallest vector); with fewer candidates than k all are returned; empty tables give
-empty results.
+with the smallest hashes); every row is indexed: its nearest centroid's list, the codes of
+its residual and its vector. How many lists a query visits, and how many candidates it
+reranks, is measured on the sample: as many lists as hold TARGET of the nearest neighbours of
+TRIALS sample rows (vectors without clusters need many lists, clustered ones few), and as many
+candidates by asymmetric distance as hold KEPT of them. A query takes all rows of the lists it
+visits in order of their asymmetric distance (table look-ups of the query's residual), and
+only the best of these, over all its lists together, are compared exactly.
+
+Distribution. Equal vectors are one row of the index, with the smallest ids that can be
+asked for, so copies make no list hot. Lists are split into blocks of at most about BLOCK_ROWS
+rows by a hash. Visits are grouped by block: a task holds one block and the queries that
+visit it. The first pass gives each visit's smallest asymmetric distances (at most as many as
+are reranked), from which the JVM takes each query's bound; the second pass compares
+exactly what lies within it. So the index is never copied, and what is shuffled are visits.
+
+Measure: Euclidean distance in double precision between vectors of one length; rows of
+other lengths are no candidates, each length is searched by itself.
+
+Cases: vectors that are null, zero or hold null or non-finite components take no part, nor do
+rows without an id, which no result could name; every other row does: rows that repeat an id
+are candidates of their own, and queries of their own with results each; a query leaves out its
+own row only. With fewer candidates than k all are returned; ties go to the smaller id. Very
+long vectors cost memory per block in proportion. Extra columns aren't read; empty tables
+give empty results.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,10 +37,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE_ROWS, ITERATIONS = 20_000, 12
-RERANK, BLOCK_ROWS, QUERY_ROWS, MAX_LISTS = 256, 32_768, 8192, 4096
-#: Share of true neighbours whose lists have to be visited, and sample rows that measure it.
-TARGET, TRIALS = 0.96, 400
+SAMPLE_ROWS, ITERATIONS = 20_000, 10
+BLOCK_ROWS, MAX_LISTS = 16_384, 4096
+#: Share of true neighbours whose lists have to be visited, sample rows that measure it, and share of true neighbours to rerank.
+TARGET, TRIALS, KEPT = 0.96, 400, 0.98
+#: Candidates to rerank at least, in terms of k, and asymmetric distances and exact comparisons that are held at once.
+RERANK, DISTANCES, PAIRS = 4, 1 << 21, 1 << 16
 CODES, SUBSPACE = 256, 4
 
 
@@ -40,9 +50,16 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, v) of the rows that take part; v holds floats as doubles."""
     v = F.col("v")
     fine = F.expr("v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x <> 0)")
-    own = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(v.isNotNull() & F.col("id").isNotNull()).where(fine)
-    common = own.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1)
-    return own.join(F.broadcast(common), F.size("v") == F.col("n"), "left_semi").groupBy("id").agg(F.min("v").alias("v"))
+    return vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v")).where(v.isNotNull() & F.col("id").isNotNull()).where(fine)
+
+
+def distinct(rows: DataFrame, k: int) -> DataFrame:
+    """(h, v, ids): each vector once, with its k + 1 smallest ids, in order. No group is collected
+    whole: the rank limits every partition to k + 1 rows a vector before the shuffle."""
+    keyed = rows.withColumn("h", F.xxhash64("v"))
+    by = Window.partitionBy("h", "v").orderBy("id")
+    few = keyed.withColumn("r", F.row_number().over(by)).where(F.col("r") <= k + 1)
+    return few.groupBy("h", "v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
 
 
 def kmeans(points: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -51,8 +68,10 @@ def kmeans(points: np.ndarray, k: int, seed: int) -> np.ndarray:
     for _ in range(ITERATIONS):
         near = nearest(points, centres)
         size = np.bincount(near, minlength=len(centres))
+        order = np.argsort(near, kind="stable")
+        first = np.flatnonzero(np.concatenate(([True], np.diff(near[order]) > 0)))
         total = np.zeros_like(centres)
-        np.add.at(total, near, points)
+        total[near[order][first]] = np.add.reduceat(points[order], first, axis=0)
         full = size > 0
         centres[full] = total[full] / size[full, None]
         if not full.all():
@@ -69,7 +88,7 @@ def nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 class Quantiser:
-    """Coarse centroids and a codebook per subspace of the residuals."""
+    """Coarse centroids and a codebook per subspace of the residuals, for vectors of one length."""
 
     def __init__(self, sample: np.ndarray, lists: int):
         self.centres = kmeans(sample, lists, 1)
@@ -77,20 +96,32 @@ class Quantiser:
         self.cuts = list(range(0, sample.shape[1], SUBSPACE))
         self.books = [kmeans(rest[:8192, c : c + SUBSPACE], CODES, 2 + c) for c in self.cuts]
 
-    def probes(self, sample: np.ndarray, k: int) -> int:
-        """The number of lists that hold TARGET of the neighbours within the sample, which are
-        farther off than those among all rows, so it errs on the side of more lists."""
-        trials = np.linspace(0, len(sample) - 1, min(TRIALS, len(sample))).astype(np.int64)
+    def plan(self, sample: np.ndarray, k: int) -> tuple[int, int, float]:
+        """How many lists hold TARGET of the neighbours within the sample, which are farther off than
+        those among all rows, so it errs on the side of more lists; how many of the candidates in
+        order of asymmetric distance hold KEPT of them; the share of the sample that was visited."""
         if len(sample) < 2:
-            return 1
+            return 1, k, 1.0
+        trials = np.linspace(0, len(sample) - 1, min(TRIALS, len(sample))).astype(np.int64)
         far = squared(sample[trials], sample)
         far[np.arange(len(trials)), trials] = np.inf
         near = np.argsort(far, axis=1, kind="stable")[:, : min(k, len(sample) - 1)]
         order = np.argsort(squared(sample[trials], self.centres), axis=1)
         place = np.empty_like(order)
         np.put_along_axis(place, order, np.arange(order.shape[1])[None, :], axis=1)
-        ranks = np.take_along_axis(place, nearest(sample, self.centres)[near], axis=1)
-        return int(np.quantile(ranks, TARGET, method="higher")) + 1
+        cells, codes = self.encode(sample)
+        ranks = np.take_along_axis(place, cells[near], axis=1)
+        probes = int(np.quantile(ranks, TARGET, method="higher")) + 1
+        found = np.full(far.shape, np.inf, np.float32)
+        for cell in range(len(self.centres)):
+            own, asked = np.flatnonzero(cells == cell), np.flatnonzero(place[:, cell] < probes)
+            found[asked[:, None], own[None, :]] = self.distances(sample[trials[asked]], cell, codes[own])
+        found[np.arange(len(trials)), trials] = np.inf
+        there = np.take_along_axis(found, near, axis=1)
+        spots = np.stack([np.searchsorted(np.sort(f), t) for f, t in zip(found, there, strict=True)])
+        spots = spots[np.isfinite(there)]
+        rerank = int(np.quantile(spots, KEPT, method="higher")) + 1 if len(spots) else k
+        return probes, rerank, float(np.isfinite(found).mean())
 
     def encode(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cells = nearest(points, self.centres)
@@ -98,81 +129,152 @@ class Quantiser:
         codes = np.stack([nearest(rest[:, c : c + SUBSPACE], b) for c, b in zip(self.cuts, self.books, strict=True)], 1)
         return cells, codes.astype(np.uint8)
 
-    def table(self, query: np.ndarray, cell: int) -> np.ndarray:
-        """Squared distances of the query's residual to each code, by subspace."""
-        rest = query - self.centres[cell]
-        out = np.full((len(self.books), CODES), np.inf)
+    def tables(self, queries: np.ndarray, cell: int) -> np.ndarray:
+        """Squared distances of each query's residual to each code, by subspace."""
+        rest = queries - self.centres[cell]
+        out = np.full((len(queries), len(self.books), CODES), np.inf)
         for at, (c, book) in enumerate(zip(self.cuts, self.books, strict=True)):
-            out[at, : len(book)] = ((book - rest[c : c + SUBSPACE]) ** 2).sum(1)
+            out[:, at, : len(book)] = squared(rest[:, c : c + SUBSPACE], book)
         return out
 
+    def distances(self, queries: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
+        """Asymmetric distances (squared) of queries to the rows of a list."""
+        tables = self.tables(queries, cell)
+        total = np.zeros((len(queries), len(codes)), np.float32)
+        for at in range(len(self.books)):
+            total += tables[:, at, codes[:, at]]
+        return total
+
+
+def _matrix(column: pd.Series, size: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.float64).reshape(len(column), size)
+
+
+def _frame(parts: list[pd.DataFrame], **kinds: type) -> pd.DataFrame:
+    return pd.concat(parts) if parts else pd.DataFrame({c: np.empty(0, t) for c, t in kinds.items()})
 
-def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, query_every: int = 100, probes: int | None = None) -> DataFrame:
+
+def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, query_every: int = 100, probes: int | None = None, rerank: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by query_every, the
     k nearest other rows found, by Euclidean distance."""
     from searchlake.llm.common import Scratch
 
     spark = vectors.sparkSession
     scratch = Scratch(spark, "ann")
-    rows = scratch.write(usable(vectors, id_col, vector_col), "rows")
-    n = rows.count()
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).collect()
+    taken = usable(vectors, id_col, vector_col)
+    rows = scratch.write(distinct(taken, k), "rows")
+    lengths = {r["n"]: r["count"] for r in rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(SAMPLE_ROWS).collect()}
+    sample: dict[int, list] = {}
+    for r in rows.orderBy("h", "v").limit(SAMPLE_ROWS).select("v").collect():
+        sample.setdefault(len(r["v"]), []).append(r["v"])
     out = "query_id long, rank int, vec_id long, score double"
     if not sample:
         return spark.createDataFrame([], out)
-    points = np.array([r["v"] for r in sample])
-    model = Quantiser(points, int(min(MAX_LISTS, max(1, round(n**0.5)), len(sample))))
-    probes = probes or model.probes(points, k)
-    del points
+    models, plans = {}, {}
+    for size, own in sample.items():
+        points = np.array(own)
+        models[size] = Quantiser(points, int(min(MAX_LISTS, max(1, round(lengths.get(size, 1) ** 0.5)), len(own))))
+        found = models[size].plan(points, k)
+        # among more rows than the sample's more come before a true neighbour
+        denser = max(1.0, lengths.get(size, 1) / len(own)) ** 0.5
+        plans[size] = (probes or found[0], rerank or max(math.ceil(found[1] * denser), RERANK * k))
+    sample.clear()
+    rare = max(1, math.ceil(4 * sum(lengths.values()) / SAMPLE_ROWS / BLOCK_ROWS))
+
+    # a length outside the sample has few rows, in one list of its own that is compared whole
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            if len(f):
-                points = np.stack(f["v"].to_numpy())
-                cells, codes = model.encode(points)
-                yield pd.DataFrame({"id": f["id"], "cell": cells, "codes": [c.tobytes() for c in codes], "v": [p.tobytes() for p in points]})
+            for size, own in f.groupby(f["v"].map(len)):
+                points = np.stack(own["v"].to_numpy())
+                cells, codes = models[size].encode(points) if size in models else (np.zeros(len(own), np.int64), np.zeros((len(own), 1), np.uint8))
+                yield pd.DataFrame({"size": size, "cell": cells, "h": own["h"], "ids": own["ids"], "codes": [c.tobytes() for c in codes], "v": [p.tobytes() for p in points]})
 
-    index = scratch.write(rows.mapInPandas(encode, "id long, cell int, codes binary, v binary"), "index")
-    sizes = {r["cell"]: r["count"] for r in index.groupBy("cell").count().collect()}  # at most MAX_LISTS
-    counts = np.array([sizes.get(c, 0) for c in range(len(model.centres))])
-    blocks = np.maximum(1, -(-counts // BLOCK_ROWS))
+    index = scratch.write(rows.select("h", "v", "ids").mapInPandas(encode, "size int, cell int, h long, ids array<long>, codes binary, v binary"), "index")
+    known = index.groupBy("size", "cell").count().where(F.col("size").isin(sorted(models))).collect()  # at most MAX_LISTS a length, lists are of the sample
+    counts = {size: np.zeros(len(m.centres), np.int64) for size, m in models.items()}
+    for r in known:
+        counts[r["size"]][r["cell"]] = r["count"]
+    blocks = index.where(F.col("size").isin(sorted(models))).groupBy("size", "cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"))
+    blocks = F.broadcast(scratch.write(blocks.where("parts > 1"), "blocks"))  # no more rows than the sample has
+    parts = F.coalesce("parts", F.when(F.col("size").isin(sorted(models)), F.lit(1)).otherwise(rare))
+    placed = index.join(blocks, ["size", "cell"], "left").withColumn("part", F.pmod(F.xxhash64("h"), parts).cast("int")).drop("parts")
 
     def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for query, v in zip(f["id"], f["v"], strict=True):
-                order = np.argsort(squared(v[None, :], model.centres)[0], kind="stable")
-                enough = int(np.searchsorted(np.cumsum(counts[order]), k + 1)) + 1
-                chosen = order[: max(probes, enough)]
-                chosen = chosen[counts[chosen] > 0]
-                cells = np.repeat(chosen, blocks[chosen])
-                parts = np.concatenate([np.arange(b) for b in blocks[chosen]])
-                yield pd.DataFrame({"id": query, "cell": cells, "part": parts, "v": v.tobytes()})
-
-    def best(key: tuple, own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+            for size, own in f.groupby(f["v"].map(len) // 8):
+                if size not in models:
+                    yield pd.DataFrame({"h": own["h"], "size": size, "cell": 0, "v": own["v"]})
+                    continue
+                order = np.argsort(squared(_matrix(own["v"], size), models[size].centres), axis=1, kind="stable")
+                # more lists where those hold too few rows
+                enough = (np.cumsum(counts[size][order], axis=1) < k + 1).sum(1) + 1
+                for at, n in enumerate(np.maximum(plans[size][0], enough).tolist()):
+                    cells = order[at, :n]
+                    cells = cells[counts[size][cells] > 0]
+                    yield pd.DataFrame({"h": own["h"].iloc[at], "size": size, "cell": cells, "v": own["v"].iloc[at]})
+
+    def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f.assign(v=[np.asarray(v, np.float64).tobytes() for v in f["v"]])
+
+    asking = taken.where(F.pmod("id", F.lit(query_every)) == 0).groupBy("id", "v").agg(F.count("*").alias("times")).withColumn("h", F.xxhash64("v"))
+    asking = scratch.write(asking.mapInPandas(packed, "id long, v binary, times long, h long"), "asking")
+    queries = asking.select("h", "v").distinct()
+    visits = queries.mapInPandas(visit, "h long, size int, cell int, v binary")
+    visits = scratch.write(visits.join(blocks, ["size", "cell"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts"), "visits")
+    by = ("size", "cell", "part")
+
+    def prepared(own: pd.DataFrame, asked: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]]:
+        """The queries of a block in runs, their vectors, their asymmetric distances, and the block's vectors."""
+        size, cell = int(own["size"].iloc[0]), int(own["cell"].iloc[0])
+        codes = np.frombuffer(b"".join(own["codes"]), np.uint8).reshape(len(own), -1)
+        points = _matrix(own["v"], size)
+        step = max(1, DISTANCES // max(len(own), 1))
+        for begin in range(0, len(asked), step):
+            some = asked.iloc[begin : begin + step]
+            raw = _matrix(some["v"], size)
+            near = models[size].distances(raw, cell, codes) if size in models else np.zeros((len(some), len(own)), np.float32)
+            yield some, raw, near, points
+
+    def smallest(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(own) and len(asked):
+            most = plans.get(int(own["size"].iloc[0]), (1, RERANK * k))[1]
+            for some, _, near, _ in prepared(own, asked):
+                best = np.sort(np.partition(near, most - 1, axis=1)[:, :most], axis=1) if near.shape[1] > most else np.sort(near, axis=1)
+                rows.append(pd.DataFrame({"h": some["h"].to_numpy(), "v": some["v"].to_numpy(), "size": int(own["size"].iloc[0]), "near": list(best)}))
+        return _frame(rows, h=np.int64, v=object, size=np.int32, near=object)
+
+    first = placed.select(*by, "codes", "v").groupBy(*by).cogroup(visits.groupBy(*by)).applyInPandas(smallest, "h long, v binary, size int, near array<float>")
+    most = F.coalesce(F.create_map(*[F.lit(x) for size, p in plans.items() for x in (size, p[1])])[F.col("size")], F.lit(RERANK * k))
+    all_near = F.array_sort(F.flatten(F.collect_list("near")))  # at most lists visited x reranked
+    bound = F.element_at("near", F.least(F.size("near"), most)) * F.lit(1.00001).cast("float")  # the second pass may round another way
+    bounds = first.groupBy("h", "v", "size").agg(all_near.alias("near")).select("h", "v", bound.alias("bound"))
+    asked = visits.join(scratch.write(bounds, "bounds"), ["h", "v"])
+
+    def best(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(own) and len(asked):
-            ids = own["id"].to_numpy()
-            order = np.argsort(ids, kind="stable")
-            ids = ids[order]
-            codes = np.frombuffer(b"".join(own["codes"]), np.uint8).reshape(len(ids), -1)[order].astype(np.int64)
-            points = np.frombuffer(b"".join(own["v"])).reshape(len(ids), -1)[order]
-            at = np.arange(codes.shape[1])
-            for query, raw in zip(asked["id"], asked["v"], strict=True):
-                q = np.frombuffer(raw)
-                other = np.flatnonzero(ids != query)
-                near = model.table(q, int(key[0]))[at, codes[other]].sum(1)
-                other = other[np.argsort(near, kind="stable")[:RERANK]]  # ids ascend, so ties keep the smaller
-                exact = np.sqrt(((points[other] - q) ** 2).sum(1))
-                take = np.lexsort((ids[other], exact))[:k]
-                found.append(pd.DataFrame({"query_id": query, "vec_id": ids[other][take], "score": exact[take]}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-
-    parts = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("cell") + 1) if (blocks > 1).any() else F.lit(1)
-    queries = rows.where(F.pmod("id", F.lit(query_every)) == 0)
-    chunks = max(1, -(-queries.count() // QUERY_ROWS))
-    own = index.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    asked = queries.mapInPandas(visit, "id long, cell int, part int, v binary").withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int"))
-    by = ("cell", "part", "chunk")
-    met = own.groupBy(*by).cogroup(asked.groupBy(*by)).applyInPandas(best, "query_id long, vec_id long, score double")
-    ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            for some, raw, near, points in prepared(own, asked):
+                row, other = np.nonzero(near <= some["bound"].to_numpy(np.float32)[:, None])
+                exact = np.concatenate([np.sqrt(((points[other[i : i + PAIRS]] - raw[row[i : i + PAIRS]]) ** 2).sum(1)) for i in range(0, len(row), PAIRS)] or [np.empty(0)])
+                order = np.lexsort((exact, row))
+                row, other, exact = row[order], other[order], exact[order]
+                # the k + 1 nearest of a query within the block, and ties with the last of them
+                start = np.searchsorted(row, row, "left")
+                last = np.minimum(start + k, np.searchsorted(row, row, "right") - 1)
+                take = exact <= exact[last]
+                found.append(pd.DataFrame({"h": some["h"].to_numpy()[row[take]], "v": some["v"].to_numpy()[row[take]], "ids": own["ids"].to_numpy()[other[take]], "score": exact[take]}))
+        return _frame(found, h=np.int64, v=object, ids=object, score=np.float64)
+
+    met = placed.groupBy(*by).cogroup(asked.groupBy(*by)).applyInPandas(best, "h long, v binary, ids array<long>, score double")
+    met = met.select("h", "v", "score", F.explode("ids").alias("vec_id"))
+    ranked = met.withColumn("r", F.row_number().over(Window.partitionBy("h", "v").orderBy("score", "vec_id"))).where(F.col("r") <= k + 1).drop("r")
+    # the rows that ask: each leaves out itself once, and copies of a row have results each
+    joined = ranked.join(asking, ["h", "v"])
+    itself = (F.col("score") == 0) & (F.col("vec_id") == F.col("id"))
+    seen = joined.withColumn("n", F.row_number().over(Window.partitionBy("id", "h", "v", itself).orderBy("score", "vec_id")))
+    kept = seen.where(~itself | (F.col("n") > 1))
+    rank = kept.withColumn("rank", F.row_number().over(Window.partitionBy("id", "h", "v").orderBy("score", "vec_id"))).where(F.col("rank") <= k)
+    return rank.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select(F.col("id").alias("query_id"), "rank", "vec_id", "score")

@@ -86,43 +86,83 @@ def test_chat_round_trip(spark, monkeypatch):
 
 
 def brute_search(rows, k=10, every=100):
-    out = {}
-    for q, v in rows:
-        if q % every == 0:
-            near = sorted((float(np.sqrt(((np.array(v, float) - np.array(w, float)) ** 2).sum())), i) for i, w in rows if i != q)
-            out[q] = near[:k]
+    """The k nearest other rows of each row whose id is divisible: [(query, [(score, id)])], repeated rows included."""
+    sizes, out = {}, []
+    for i, v in rows:
+        sizes.setdefault(len(v), []).append((i, v))
+    for own in sizes.values():
+        ids, points = np.array([i for i, _ in own]), np.array([v for _, v in own], np.float32).astype(float)
+        for at in np.flatnonzero(ids % every == 0):
+            far = np.sqrt(((points - points[at]) ** 2).sum(1))
+            order = [o for o in np.lexsort((ids, far)) if o != at][:k]
+            out.append((int(ids[at]), [(float(far[o]), int(ids[o])) for o in order]))
     return out
 
 
+def recall(got, want):
+    """Share of the true neighbours found; scores have to be exact."""
+    found = {}
+    for r in sorted(got, key=lambda r: (r.query_id, r["rank"])):
+        found.setdefault(r.query_id, []).append((r.score, r.vec_id))
+    true = {}
+    for q, near in want:
+        true.setdefault(q, []).append(near)
+    assert found.keys() == {q for q, near in true.items() if any(near)}
+    hits = total = 0
+    for q, nears in true.items():
+        total += sum(map(len, nears))
+        own = [i for _, i in found.get(q, [])]
+        for near in nears:
+            for _, i in near:
+                if i in own:
+                    own.remove(i)
+                    hits += 1
+        assert len(found.get(q, [])) == sum(map(len, nears))
+    return hits / total
+
+
 def test_ann_recall_and_odd_vectors(spark):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     rows += [(10_000 + i, rows[0][1]) for i in range(15)]  # ties
-    odd = [(700, None), (800, [0.0] * 64), (900, [float("nan")] * 64), (1000, [1.0]), (1100, [None] * 64), (None, rows[3][1]), (1200, [float("inf")] * 64)]
-    df = spark.createDataFrame([(i, v, 1) for i, v in rows + odd + rows[:5]], "vec_id long, embedding array<float>, rank int")
+    rows += rows[:5] + [(200, rows[7][1]), (0, rows[0][1]), (100, rows[9][1])]  # repeated rows and ids
+    rows += [(20_000 + 50 * i, [float(i), 1.0]) for i in range(30)] + [(700, [2.5]), (300, [1.0, 2.0, 3.0]), (301, [3.0, 2.0, 1.0])]  # other lengths
+    odd = [(701, None), (800, [0.0] * 64), (900, [float("nan")] * 64), (1000, []), (1100, [None] * 64), (None, rows[3][1]), (1200, [float("inf")] * 64)]
+    df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows + odd], "vec_id long, embedding array<float>, rank int, h int")
     got = ann.search(df).collect()
-    found = {}
-    for r in sorted(got, key=lambda r: (r.query_id, r["rank"])):
-        found.setdefault(r.query_id, []).append((r.score, r.vec_id))
-    want = brute_search([(i, [np.float32(x) for x in v]) for i, v in rows])
-    assert found.keys() == want.keys()
-    hits = sum(len({i for _, i in want[q]} & {i for _, i in found[q]}) for q in want)
-    assert hits >= 0.9 * sum(map(len, want.values()))
-    assert [i for _, i in found[0]] == list(range(10_000, 10_010))
-    exact = {i: np.array(v, np.float32).astype(float) for i, v in rows}
-    for q, own in found.items():
-        assert all(abs(s - np.linalg.norm(exact[q] - exact[i])) < 1e-9 for s, i in own)
+    want = brute_search(rows)
+    assert recall(got, want) >= 0.9
+    exact = {}
+    for i, v in rows:
+        exact.setdefault(i, []).append(np.array(v, np.float32).astype(float))
+    for r in got:
+        assert any(len(a) == len(b) and abs(r.score - np.linalg.norm(a - b)) < 1e-9 for a in exact[r.query_id] for b in exact[r.vec_id])
+    zero = [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == 0]
+    assert sorted(zero) == sorted(([0] * 2 + list(range(10_000, 10_008))) * 3)
     assert ann.search(df.where("false")).count() == 0
-    assert ann.search(df.where("vec_id < 4")).count() == 3
+    few = df.where("vec_id < 4 and vec_id > 0 or vec_id = 100").dropDuplicates(["vec_id"])
+    assert ann.search(few).count() == 3
 
 
 def test_ann_blocks(spark, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK_ROWS", 3)
-    monkeypatch.setattr(ann, "QUERY_ROWS", 2)
+    monkeypatch.setattr(ann, "DISTANCES", 7)
+    monkeypatch.setattr(ann, "PAIRS", 5)
     df = spark.read.parquet(f"{SF}/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in df.collect()]
-    want = brute_search(rows)
-    got = ann.search(df).collect()
-    assert sum((r.query_id, r.vec_id) in {(q, i) for q in want for _, i in want[q]} for r in got) >= 0.9 * len(got)
+    assert recall(ann.search(df).collect(), brute_search(rows)) >= 0.9
+
+
+def test_ann_codes_prune(spark):
+    """Clustered vectors: few lists are visited and few of their rows compared, and recall holds."""
+    pick = np.random.default_rng(3)
+    centres = pick.normal(size=(60, 32))
+    points = (centres[pick.integers(0, 60, 6000)] + 0.2 * pick.normal(size=(6000, 32))).astype(np.float32)
+    rows = [(i, p.tolist()) for i, p in enumerate(points)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    model = ann.Quantiser(points.astype(float), 77)
+    probes, rerank, visited = model.plan(points.astype(float), 10)
+    assert probes < 77 / 3 and visited < 0.3 and max(rerank, ann.RERANK * 10) < 0.2 * visited * len(points)
+    assert recall(ann.search(df).collect(), brute_search(rows)) >= 0.9
 
 
 @pytest.mark.parametrize("n", [0, 1, 40])
