@@ -13,14 +13,26 @@ backslash, and a bracket that would begin a control string, are replaced by a ba
 and a letter, so no control string is left in them and nothing is lost. The loss mask
 covers assistant texts, without their end mark.
 
-Distribution. A node is known by a chained hash of its turns, so nodes are distinct rows
-of a grouping with partial aggregation; conversations are read as sorted streams, in
-memory bounded by one turn. A tree whose root holds more than PACK_CONVERSATIONS
-conversations is emitted as several packs (conversations are spread by a hash), each a
-whole prefix tree, so that no pack grows with the data.
-
-Cases: null text and null role count as empty; null turns sort first; a null conv_id is a
-conversation; repeated rows are turns of their own; an empty table gives no trees.
+Method. A node is known by a chained hash of its turns. Every conversation has a random rank;
+the least rank that passes through a node owns it, so a conversation owns the end of its path
+from where it leaves lower ranks: its segment. Children are laid out with the owner's first, so
+a segment lies in one piece, and the segments that branch off it follow, the deepest branch
+first. A segment's place in its tree is the path of (branch depth, rank) pairs from the root;
+ranks being random, that path is about as long as the logarithm of the number of
+conversations, whatever the depth of the tree. Sorting by these paths is the depth-first order,
+and running sums of segment lengths over it are the offsets. Ancestors of a node are one
+interval for each segment on its path.
+
+Distribution. Conversations are read as sorted streams, in memory bounded by one turn; all
+else is groupings with partial aggregation, joins and a range sort in the JVM. A tree of any
+size is emitted once, in as many tasks as the sort gives: running sums are taken per range,
+and what lies in earlier ranges of a tree is added. Nodes on very many paths (over a
+thousandth of all turns, so under a thousand nodes) are broadcast in joins, others shuffled.
+
+Cases: null text and null role count as empty; null turns sort first, ties of turns by role and
+text; a null conv_id is a conversation; repeated rows are turns of their own; equal
+conversations share all nodes; very long texts are held one at a time; extra columns aren't
+read; an empty table gives no trees.
 """
 
 from __future__ import annotations
@@ -30,10 +42,16 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PACK_CONVERSATIONS = 4096
+from searchlake.llm.common import Scratch
+
+#: Rows of one key that a join shuffles; keys of more are broadcast, at most a thousand of them.
+HOT_ROWS = 100_000
+#: Code points of the mark that a tree starts with.
+START = 3
 _ESCAPE = re.compile(r"\\|\[(?=/?(?:INST|TURN)\])|<(?=/?s>)")
 _TO, _FROM = {"\\": "\\b", "[": "\\l", "<": "\\g"}, {"\\b": "\\", "\\l": "[", "\\g": "<"}
 _BACK = re.compile(r"\\[blg]")
@@ -76,76 +94,112 @@ def parse(formatted: str) -> Iterator[tuple[str, str]]:
         at = m.end()
 
 
-_LINKS = "conv_id {id}, depth int, root long, node string, parent string, pos_start long, segment string, mask_start int, mask_end int"
+_LINKS = "conv_id {id}, rank long, depth int, tree binary, node binary, parent binary, pos_start long, segment string, mask_start int, mask_end int"
 
 
 def links(conversations: DataFrame) -> DataFrame:
-    """One row per turn: its conversation, depth, node (chained hash) and formatted segment."""
+    """One row per turn: its conversation and the rank of that, depth, tree (root node), node
+    (chained hash) and formatted segment. Ranks are distinct: a number scattered by a bijection."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, depth, parent, root, position = object(), 0, "", 0, 0
+        now, depth, parent, root, position = object(), 0, None, b"", START
+        number = TaskContext.get().partitionId() << 40
+        rank = 0
         for batch in batches:
             rows = []
             ids, roles, texts = (batch.column(i).to_pylist() for i in (0, 1, 2))
             for conv, role, text in zip(ids, roles, texts, strict=True):
-                if depth == 0 or conv != now:
-                    now, depth, parent, position = conv, 0, "", 3
                 segment, a, b = format_turn(role, text)
-                node = hashlib.blake2b(f"{parent}\0{segment}".encode("utf-8", "replace"), digest_size=16).hexdigest()
+                if depth == 0 or conv != now:
+                    now, depth, parent, position = conv, 0, None, START
+                    number += 1
+                    rank = (number * 0x9E3779B97F4A7C15) % (1 << 64) - (1 << 63)
+                node = hashlib.blake2b((parent or b"") + segment.encode("utf-8", "replace"), digest_size=16).digest()
                 if depth == 0:
-                    root = int(node[:15], 16)
-                rows.append((conv, depth, root, node, parent, position, segment, a, b))
+                    root = node
+                rows.append((conv, rank, depth, root, node, parent, position, segment, a, b))
                 depth, parent, position = depth + 1, node, position + len(segment)
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 9
-            kinds = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["conv_id", "depth", "root", "node", "parent", "pos_start", "segment", "mask_start", "mask_end"])
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 10
+            kinds = [batch.schema.field(0).type, pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.string(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in _LINKS.split(", ")])
 
     turns = conversations.select("conv_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), "turn")
     ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
     return ordered.mapInArrow(run, _LINKS.format(id=dict(conversations.dtypes)["conv_id"]))
 
 
+def _lookup(rows: DataFrame, key: str, found: DataFrame, bound: int) -> DataFrame:
+    """Inner join with a table that has each key once and, in the column n, no fewer than the rows that ask
+    for it. Keys of more than bound rows are broadcast: there are at most (all rows / bound) of them."""
+    hot = found.where(F.col("n") > bound).drop("n").withColumn("__hot", F.lit(True))
+    met = rows.join(F.broadcast(hot), key, "left")
+    mine = [c for c in rows.columns if c != key]
+    rest = met.where("__hot is null").select(key, *mine).join(found.where(F.col("n") <= bound).drop("n"), key)
+    return met.where("__hot").drop("__hot").unionByName(rest)
+
+
 def prefix_trees(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, paths). nodes: pack, node, parent, depth, segment, seq_start, seq_end, pos_start,
-    mask_start, mask_end (loss, in the sequence), attend (array of intervals). paths: one row per
-    turn of a conversation with its pack and node."""
-    own = links(conversations)
-    sizes = own.where("depth = 0").groupBy("root").count().withColumn("packs", F.ceil(F.col("count") / PACK_CONVERSATIONS).cast("int")).drop("count")
-    turns = own.join(sizes, "root").withColumn("pack", F.concat_ws("-", F.hex("root"), F.expr("pmod(xxhash64(conv_id), packs)")))
-    paths = turns.select("pack", "conv_id", "depth", "node")
-    nodes = turns.groupBy("pack", "node").agg(*[F.first(c).alias(c) for c in ("parent", "depth", "pos_start", "segment", "mask_start", "mask_end")])
-    return _laid_out(nodes), paths
-
-
-def _laid_out(nodes: DataFrame) -> DataFrame:
-    """Depth-first offsets and ancestor intervals, pack by pack; a pack is bounded."""
-    schema = "pack string, node string, parent string, depth int, segment string, seq_start long, seq_end long, pos_start long, mask_start long, mask_end long, attend array<struct<start:long,end:long>>"
-
-    def run(key: tuple, frame):
-        import pandas as pd
-
-        rows = {r.node: r for r in frame.itertuples(index=False)}
-        children: dict[str, list[str]] = {}
-        for r in rows.values():
-            children.setdefault(r.parent, []).append(r.node)
-        out, at = [], 3  # after "<s>"
-        stack: list[tuple[str, list[tuple[int, int]]]] = [(n, [(0, 3)]) for n in sorted(children.get("", []), reverse=True)]
-        while stack:
-            name, above = stack.pop()
-            r = rows[name]
-            end = at + len(r.segment)
-            out.append((key[0], name, r.parent, r.depth, r.segment, at, end, r.pos_start, at + r.mask_start, at + r.mask_end, [{"start": a, "end": b} for a, b in above]))
-            below = [*above[:-1], (above[-1][0], end)] if above[-1][1] == at else [*above, (at, end)]
-            stack += [(n, below) for n in sorted(children.get(name, []), reverse=True)]
-            at = end
-        return pd.DataFrame(out, columns=["pack", "node", "parent", "depth", "segment", "seq_start", "seq_end", "pos_start", "mask_start", "mask_end", "attend"])
-
-    return nodes.groupBy("pack").applyInPandas(run, schema)
+    """(nodes, paths). nodes: tree, node, parent, owner, conv_id (of the owner), depth, segment,
+    seq_start, seq_end, pos_start, mask_start, mask_end (loss, in the sequence), attend (array of
+    intervals), n (conversations through it). paths: one row per turn of a conversation with its
+    rank, conv_id, depth, node and the node's owner."""
+    scratch = Scratch(conversations.sparkSession, "chat")
+    turns = scratch.write(links(conversations), "links")
+    bound = max(HOT_ROWS, turns.count() // 1000)
+    owners = scratch.write(turns.groupBy("node").agg(F.min("rank").alias("owner"), F.count("*").alias("n")), "owners")
+    light = turns.select("conv_id", "rank", "depth", "tree", "node", "parent", "pos_start", F.length("segment").cast("long").alias("size"))
+    paths = scratch.write(_lookup(light, "node", owners.withColumn("through", F.col("n")), bound), "paths")
+    first = F.min(F.struct("depth", "pos_start", "tree", "parent"))
+    own = paths.where("rank = owner").groupBy("rank").agg(first.alias("f"), F.sum("size").alias("size"), F.count("*").alias("owned"), F.max("through").alias("n"))
+    segments = scratch.write(own.select("rank", "f.*", "size", "n", (F.col("f.depth") + F.col("owned")).alias("turns")), "segments")
+
+    # level by level: what branches off segments that have a place gets its own
+    step = "struct<seg:long,from:long,to:long>"
+    placed = scratch.write(segments.where("depth = 0").select("rank", "tree", "depth", "pos_start", "size", "n", "turns", F.array().cast("array<struct<up:int,rank:long>>").alias("place"), F.array().cast(f"array<{step}>").alias("hops")), "level-0")
+    levels = [placed]
+    upper = owners.select(F.col("node").alias("parent"), F.col("owner").alias("above"), "n")
+    open_ = scratch.write(_lookup(segments.where("depth > 0"), "parent", upper, bound), "branches")
+    left = open_.count()
+    while left:
+        over = levels[-1].select(F.col("rank").alias("above"), F.col("place").alias("p"), F.col("hops").alias("h"), F.col("pos_start").alias("q"), "n")
+        met = _lookup(open_, "above", over, bound)
+        place = F.concat("p", F.array(F.struct((-F.col("depth")).alias("up"), F.col("rank").alias("rank"))))
+        hops = F.concat("h", F.array(F.struct(F.col("above").alias("seg"), F.col("q").alias("from"), F.col("pos_start").alias("to"))))
+        levels.append(scratch.write(met.select("rank", "tree", "depth", "pos_start", "size", "n", "turns", place.alias("place"), hops.alias("hops")), f"level-{len(levels)}"))
+        left -= levels[-1].count()
+    every = levels[0]
+    for level in levels[1:]:
+        every = every.unionByName(level)
+
+    ordered = every.repartitionByRange("tree", "place").sortWithinPartitions("tree", "place").withColumn("part", F.spark_partition_id())
+    ordered = scratch.write(ordered, "ordered")
+    before = Window.partitionBy("part", "tree").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ordered.groupBy("tree", "part").agg(F.sum("size").alias("size"))
+    earlier = Window.partitionBy("tree").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.select("tree", "part", F.sum("size").over(earlier).alias("carried")).where("carried > 0")  # fewer rows than ranges
+    seated = ordered.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))).join(F.broadcast(carried), ["tree", "part"], "left")
+    seats = scratch.write(seated.select("rank", "depth", "pos_start", "n", "turns", "hops", (START + F.col("before") + F.coalesce("carried", F.lit(0))).alias("seq")), "seats")
+
+    asked = seats.where(F.size("hops") > 0).select("rank", F.posexplode("hops").alias("i", "hop")).select("rank", "i", "hop.*")
+    starts = _lookup(asked, "seg", seats.select(F.col("rank").alias("seg"), "seq", "n"), bound)
+    interval = F.struct(F.when(F.col("seq") > START, F.col("seq")).otherwise(0).cast("long").alias("start"), (F.col("seq") + F.col("to") - F.col("from")).alias("end"))
+    above = starts.groupBy("rank").agg(F.sort_array(F.collect_list(F.struct("i", interval.alias("v")))).alias("above"))
+    full = seats.join(above, "rank", "left").select("rank", F.col("depth").alias("from"), F.col("pos_start").alias("origin"), "seq", F.col("turns").alias("n"), F.coalesce(F.col("above.v"), F.array().cast("array<struct<start:long,end:long>>")).alias("above"))
+    mine = _lookup(turns, "rank", scratch.write(full, "full"), bound).where(F.col("depth") >= F.col("from"))
+    start = F.col("seq") + F.col("pos_start") - F.col("origin")
+    root = F.when(F.col("seq") > START, F.col("seq")).otherwise(0).cast("long")
+    attend = F.when(start > root, F.concat("above", F.array(F.struct(root.alias("start"), start.alias("end"))))).otherwise(F.col("above"))
+    laid = mine.select("tree", "node", "parent", F.col("rank").alias("owner"), "conv_id", "depth", "segment", start.alias("seq_start"), (start + F.length("segment")).alias("seq_end"), "pos_start", (start + F.col("mask_start")).alias("mask_start"), (start + F.col("mask_end")).alias("mask_end"), attend.alias("attend"))
+    nodes = scratch.write(_lookup(laid, "node", owners.select("node", F.col("n").alias("through"), F.lit(1).cast("long").alias("n")), bound).withColumnRenamed("through", "n"), "nodes")
+    return nodes, paths.select("rank", "conv_id", "depth", "node", "owner")
 
 
 def digests(nodes: DataFrame, paths: DataFrame) -> DataFrame:
     """Per conversation, read back from the trees: n_turns, digests and sizes."""
-    text = paths.join(nodes.select("pack", "node", "segment", (F.col("mask_start") - F.col("seq_start")).alias("a"), (F.col("mask_end") - F.col("seq_start")).alias("b")), ["pack", "node"])
+    said = ["segment", (F.col("mask_start") - F.col("seq_start")).alias("a"), (F.col("mask_end") - F.col("seq_start")).alias("b")]
+    own = nodes.select(F.col("owner").alias("rank"), "conv_id", "depth", *said)
+    shared = _lookup(paths.where("rank <> owner").drop("owner"), "node", nodes.where("n > 1").select("node", *said, "n"), max(HOT_ROWS, paths.count() // 1000))
+    text = own.unionByName(shared.drop("node"))
     kind = dict(paths.dtypes)["conv_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +229,7 @@ def digests(nodes: DataFrame, paths: DataFrame) -> DataFrame:
         if turns is not None:
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row(), [id_type, *kinds], strict=True)], names=names)
 
-    ordered = text.repartition("conv_id").sortWithinPartitions("conv_id", "depth").select("conv_id", "depth", "segment", "a", "b")
+    ordered = text.repartition("rank").sortWithinPartitions("rank", "depth").select("conv_id", "depth", "segment", "a", "b")
     return ordered.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 

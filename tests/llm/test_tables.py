@@ -1,6 +1,8 @@
 """URL rules, chat trees, vector search and the pipeline on small fixtures."""
 
 import hashlib
+import itertools
+import random
 
 import duckdb
 import numpy as np
@@ -53,6 +55,9 @@ def test_escaping_is_reversible():
 def test_chat_round_trip(spark, monkeypatch):
     rows = [(r.conv_id, r.turn, r.role, r.text) for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()]
     rows += [(900 + i, t, r, x) for i in range(9) for t, (r, x) in enumerate([("system", "shared"), ("user", "also shared"), ("assistant", CONTROL[i % len(CONTROL)]), (None, None)])]
+    pick = random.Random(2)
+    for i in range(120):  # a bushy tree: turns of few words, some conversations equal, some prefixes of others
+        rows += [(2000 + i, t, ("user", "assistant")[t % 2], pick.choice("abc")) for t in range(pick.randint(1, 9))]
     rows += [(None, 0, "user", "a null id"), (None, 1, "assistant", "answer"), (990, 0, "user", "tie"), (990, 0, "user", "tie"), (990, None, "assistant", "first")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
 
@@ -64,24 +69,29 @@ def test_chat_round_trip(spark, monkeypatch):
         own = sorted((r for r in rows if r[0] == conv), key=lambda r: (key(r[1]), r[2] or "", r[3] or ""))
         said = "".join(r[3] or "" for r in own if r[2] == "assistant")
         want.append((str(conv), len(own), hashlib.sha256("".join(f"{r[2] or ''}\n{r[3] or ''}\n" for r in own).encode()).hexdigest(), len(said), hashlib.sha256(said.encode()).hexdigest()))
-    for size in (4096, 2):
-        monkeypatch.setattr(chat, "PACK_CONVERSATIONS", size)
+    for hot in (100_000, 0):  # 0: all keys are broadcast
+        monkeypatch.setattr(chat, "HOT_ROWS", hot)
         nodes, paths = chat.prefix_trees(df)
         got = chat.digests(nodes, paths).collect()
         assert sorted((str(g.conv_id), *g[1:5]) for g in got) == sorted(want)
-    monkeypatch.setattr(chat, "PACK_CONVERSATIONS", 4096)
-    nodes = [n.asDict() for n in chat.format_conversations(df).collect()]
-    shared = [n for n in nodes if n["segment"] == "[TURN]system[/TURN]shared</s>"]
-    assert len(shared) == 1
-    by = {(n["pack"], n["node"]): n for n in nodes}
-    for n in nodes:
-        path, at = [], n
-        while at["parent"]:
-            at = by[n["pack"], at["parent"]]
-            path.append(at)
-        covered = sorted(i for a in n["attend"] for i in range(a["start"], a["end"]))
-        assert covered == sorted([0, 1, 2, *(i for p in path for i in range(p["seq_start"], p["seq_end"]))])
-        assert n["pos_start"] == len(covered)
+        nodes = [n.asDict() for n in nodes.collect()]
+        assert len([n for n in nodes if n["segment"] == "[TURN]system[/TURN]shared</s>"]) == 1
+        by = {bytes(n["node"]): n for n in nodes}
+        assert len(by) == len(nodes)
+        trees = {}
+        for n in nodes:
+            path, at = [], n
+            while at["parent"]:
+                at = by[bytes(at["parent"])]
+                path.append(at)
+            assert n["depth"] == len(path) and bytes(n["tree"]) == bytes((path or [n])[-1]["node"])
+            covered = sorted(i for a in n["attend"] for i in range(a["start"], a["end"]))
+            assert covered == sorted([0, 1, 2, *(i for p in path for i in range(p["seq_start"], p["seq_end"]))])
+            assert n["pos_start"] == len(covered)
+            trees.setdefault(bytes(n["tree"]), []).append((n["seq_start"], n["seq_end"], n["depth"]))
+        for own in trees.values():  # every code point once, depth first
+            own.sort()
+            assert own[0][0] == 3 and all(a[1] == b[0] and b[2] <= a[2] + 1 for a, b in itertools.pairwise(own))
     assert chat.digests(*chat.prefix_trees(df.where("false"))).count() == 0
 
 
