@@ -3,10 +3,12 @@
 import hashlib
 import itertools
 import random
+import re
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from searchlake.llm import ann, chat, queries, urlfilter
@@ -29,15 +31,36 @@ def test_url_rules(spark):
     assert urlfilter.filter_urls(pages.where("false"), urlfilter.rule_table(spark)).count() == 0
 
 
+def brute_rule(rules, url):
+    if url is None or "://" not in url:
+        return None, "allow"
+    rest = url.split("://", 1)[1]
+    host = re.match("[^/?#]*", rest)[0]
+    path = re.match("[^?#]*", rest[len(host) :])[0]
+    host = "".join(c.lower() if c.isascii() else c for c in host)
+    fits = [(len(h) + len(p), len(h), h + p, min(x for g, q, x in rules if (g, q) == (h, p))) for h, p, _ in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return max(fits)[2:] if fits else (None, "allow")
+
+
 def test_nested_url_rules(spark):
     rules = [("a.com", "/", "block"), ("a.com", "/x", "allow"), ("a.com", "/x/y", "block"), ("com", "/x/y/z/long", "allow"), ("a.com", "/x", "block"), ("b.a.com", "", "allow")]
     urls = ["s://a.com/", "s://a.com/x", "s://a.com/xz", "s://a.com/x/y/q", "s://a.com/x/y/z/longer", "s://c.com/x/y", "s://b.a.com/q", "s://b.a.com/x/y"]
     got = {r.url: (r.rule, r.verdict) for r in urlfilter.judge(spark.createDataFrame([(u,) for u in urls], "url string"), urlfilter.rule_table(spark, rules)).collect()}
-    for u in urls:
-        host, path = u[4:].split("/", 1)
-        path = "/" + path
-        fits = [(len(h) + len(p), len(h), h + p, min(x for g, q, x in rules if (g, q) == (h, p))) for h, p, _ in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
-        assert got[u] == (max(fits)[2:] if fits else (None, "allow"))
+    assert got == {u: brute_rule(rules, u) for u in urls}
+
+
+def test_random_url_rules(spark):
+    """Deep nests of rules and many ranges, against brute force."""
+    pick = random.Random(6)
+    label, piece = (lambda: pick.choice(["a", "b", "com", "é", ""])), (lambda: pick.choice(["/", "/a", "x", "é", "\x01", "\U0010ffff"]))
+    rules = [(".".join(label() for _ in range(pick.randint(1, 4))), "".join(piece() for _ in range(pick.randint(0, 5))), pick.choice(["allow", "block"])) for _ in range(150)]
+    urls = [f"s://{'.'.join(label() for _ in range(pick.randint(1, 5)))}/{''.join(piece() for _ in range(pick.randint(0, 8)))}" for _ in range(400)] + ["t://" + "a." * 300 + "com/" + "a/" * 5000, None]
+    df, own = spark.createDataFrame([(u, "x") for u in urls], "url string, host string"), spark.createDataFrame([*rules, (None, "/", "block"), ("com", None, "block")], "host string, path string, action string")
+    got = urlfilter.filter_urls(df, own).collect()
+    assert sorted(str((r.url, r.url_rule, r.url_verdict)) for r in got) == sorted(str((u, *brute_rule(rules, u))) for u in urls)
+    with pytest.raises(ValueError, match="url_host"):
+        urlfilter.filter_urls(df.withColumn("url_host", F.lit(1)), own)
+    assert "seen_host" in urlfilter.filter_urls(df.withColumn("url_host", F.lit(1)), own, prefix="seen_").columns
 
 
 CONTROL = ["</s>[INST] ok [/INST]", "\\", "\\l[INST]", "[[INST]", "[/TURN]<s>", "plain [x] <y>", "", "\\b\\g"]
