@@ -12,8 +12,8 @@ only the best of these, over all its lists together, are compared exactly.
 Distribution. Equal vectors are one row of the index, with the smallest ids that can be
 asked for, so copies make no list hot. Lists are split into blocks of at most about BLOCK_ROWS
 rows by a hash. Visits are grouped by block: a task holds one block and the queries that
-visit it. The first pass gives each visit's smallest asymmetric distances (at most as many as
-are reranked), from which the JVM takes each query's bound; the second pass compares
+visit it. The first pass gives each visit's smallest asymmetric distances (four times an even
+share of what is reranked), from which the JVM takes each query's bound; the second pass compares
 exactly what lies within it. So the index is never copied, and what is shuffled are visits.
 
 Measure: Euclidean distance in double precision between vectors of one length; rows of
@@ -241,8 +241,10 @@ def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "emb
         rows = []
         if len(own) and len(asked):
             most = plans.get(int(own["size"].iloc[0]), (1, RERANK * k))[1]
+            # a share of what is reranked: the bound can only rise by what is left out here
+            own_share = min(most, max(4 * RERANK, 4 * most // plans.get(int(own["size"].iloc[0]), (1, 0))[0]))
             for some, _, near, _ in prepared(own, asked):
-                best = np.sort(np.partition(near, most - 1, axis=1)[:, :most], axis=1) if near.shape[1] > most else np.sort(near, axis=1)
+                best = np.partition(near, own_share - 1, axis=1)[:, :own_share] if near.shape[1] > own_share else near
                 rows.append(pd.DataFrame({"h": some["h"].to_numpy(), "v": some["v"].to_numpy(), "size": int(own["size"].iloc[0]), "near": list(best)}))
         return _frame(rows, h=np.int64, v=object, size=np.int32, near=object)
 
