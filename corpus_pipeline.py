@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
 read again as the next stage's docs.
+
+Cases: null texts count as empty, so they are clean, near-duplicates of each other, and one of
+them stays; empty and very long texts and repeated rows go through all stages; ties between
+near-duplicates go to the smaller id, then to the smaller hashes; empty tables give no rows;
+columns beyond those of documents stay through all stages but the last, whatever their names;
+documents may lack n_chars, which is only kept up to date where it is there.
 """
 
 from __future__ import annotations
@@ -31,7 +37,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: personal data is replaced by its kind, and n_chars counts the new text."""
-    return pii.redact(docs).withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(docs.columns)
+    clean = pii.redact(docs)
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
+    return clean.select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

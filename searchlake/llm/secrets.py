@@ -9,7 +9,9 @@ in a bounded sample of documents against all other tokens of that sample.
 
 Cases: null or empty texts have no spans; offsets are code points, end exclusive; spans of
 one kind never overlap; random spans never overlap base spans; repeated rows are judged
-alike; without any sample (empty table) the built-in samples alone train the models.
+alike; without any sample (empty table) the built-in samples alone train the models. Equal
+scores can't tie, as every token is judged by itself. Very long texts are scanned whole, in
+memory of their spans. Extra columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from searchlake.llm.common import sample_rows
+
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -127,14 +131,13 @@ def sample_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(docs: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> RatioModel:
-    """Train on the built-in samples and the rows with the smallest hashes of their ids.
+    """Train on the built-in samples and the distinct rows (id and text) with the smallest hashes.
 
     Pairs of characters are counted on the executors; the driver gets at most 2 x 128 x 128 sums.
     """
     counts = np.stack((count(random_strings(3000)), count(identifiers(3000))))
     if docs is not None:
-        chosen = docs.select(F.col(id_col).alias("__id")).where("__id is not null").distinct().orderBy(F.xxhash64("__id"), "__id").limit(rows)
-        own = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).join(F.broadcast(chosen), "__id").select("__text")
+        own = sample_rows(docs, id_col, text_col, rows).select("__text")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = np.zeros((2, 128, 128))

@@ -16,7 +16,10 @@ fingerprints, and a task splits a bucket further until its variants fit its memo
 
 Cases: null text counts as empty; texts without words have fingerprint zero and link like
 others; fewer words than a shingle make one shingle; repeated rows share a fingerprint
-and component. A null doc_id keeps its row; a component of null ids only has a null id.
+and component, and of repeated ids that one row stays whose text and columns have the least
+hashes. A null doc_id keeps its row; a component of null ids only has a null id. Very long
+texts are read whole, their shingles in runs of 65,536. Extra columns aren't read for the
+query and stay as they are in drop_near_duplicates; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -29,10 +32,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from searchlake.llm.common import Scratch, text_bytes
+from searchlake.llm.common import Scratch, free_names, text_bytes
 from searchlake.llm.components import components
 
 WORDS, SEED, RADIUS = 4, 42, 4
@@ -201,13 +204,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of docs for each component: one with its smallest id."""
     found = clusters(docs, id_col=id_col, text_col=text_col)
+    i, r, g, n = free_names(docs, "id", "rk", "root", "place")
     kept = Scratch(docs.sparkSession, "simhash-kept").write(
-        found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id"), F.col("rk").alias("__rk"), F.col("root").alias("__root")), "kept"
+        found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(i), F.col("rk").alias(r), F.col("root").alias(g)), "kept"
     )
-    repeated = kept.groupBy("__root").count().where("count > 1").limit(1).count()
-    keys = kept.distinct() if repeated else kept
-    match = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__rk"))
-    out = docs.join(keys, match)
-    if repeated:
-        out = out.dropDuplicates(["__root"])
-    return out.select(docs.columns)
+    repeated = kept.groupBy(g).count().where("count > 1").limit(1).count()
+    keys = kept.groupBy(g).agg(F.min(F.struct(i, r)).alias("m")).select(g, "m.*") if repeated else kept
+    out = docs.join(keys, F.col(id_col).eqNullSafe(F.col(i)) & (F.xxhash64(text_col) == F.col(r)))
+    if repeated:  # rows with one id and text: the first by the other columns
+        plain = [F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+        out = out.withColumn(n, F.row_number().over(Window.partitionBy(g).orderBy(F.xxhash64(*plain), *plain))).where(F.col(n) == 1)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -36,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from searchlake.llm.common import Scratch, text_bytes
@@ -173,27 +173,22 @@ def removed_intervals(keyed: DataFrame, scratch: Scratch) -> DataFrame:
     repeated = rows.groupBy("h").agg(F.count("*").alias("n"), (F.min("c") != F.max("c")).alias("mixed")).where("n > 1").select("h", "mixed")
     kept = scratch.write(rows.join(repeated, "h"), "repeated")
     scratch.drop("anchors")
-    scratch.release()
     mixed = kept.where("mixed")
     contexts = scratch.write(mixed.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("rk", "lo", "hi", "x")).alias("r")), "contexts")
     several = contexts.where("n > 1").select("h", "c")
     copies = mixed.join(several, ["h", "c"], "left_semi").unionByName(kept.where("not mixed"))
     whole = scratch.write(copies.select("rk", "lo", (F.col("hi") + LENGTH).alias("end")), "whole")
     scratch.drop("repeated")
-    scratch.release()
 
     own = contexts.select(F.col("r.rk").alias("rk"), F.struct("h", "n", "r.lo", "r.hi", "r.x").alias("q")).groupBy("rk").agg(F.collect_list("q").alias("qs"))
     runs = scratch.write(keyed.select("rk", "bytes").join(own, "rk").mapInArrow(_runs, "h long, run int, core long, span long, rk long, lo int, hi int, n long, from int, to int"), "runs")
     scratch.drop("contexts")
-    scratch.release()
     cores = runs.groupBy("h", "run", "core").agg(F.sum("n").alias("k")).where("k > 1").drop("k")
     open_ = scratch.write(runs.join(cores, ["h", "run", "core"], "left_semi"), "open")
     scratch.drop("runs")
-    scratch.release()
     spans = open_.where("span is not null").groupBy("h", "run", "span").agg(F.sum("n").alias("k")).where("k > 1")
     settled = scratch.write(open_.join(spans, ["h", "run", "span"], "left"), "settled")
     scratch.drop("open")
-    scratch.release()
 
     # a settled run is unlike an open one of the same core as a whole, but may share windows with it:
     # one run of each kind stands for all of them
@@ -205,22 +200,28 @@ def removed_intervals(keyed: DataFrame, scratch: Scratch) -> DataFrame:
     stand = stand.select("r.rk", F.struct("h", F.lit(2).cast("long").alias("n"), F.col("r.from").alias("lo"), F.col("r.to").alias("hi"), (F.col("r.to") + F.col("run") * STEP).alias("x")).alias("q"))
     left = asked.unionAll(stand).groupBy("rk").agg(F.collect_list("q").alias("qs"))
     windows = scratch.write(keyed.select("rk", "bytes").join(left, "rk").mapInArrow(_windows, "h long, w long, rk long, lo int, n long"), "windows")
-    scratch.release()
     twice = windows.groupBy("h", "w").agg(F.sum("n").alias("k")).where("k > 1").drop("k")
     single = windows.where("n = 1").join(twice, ["h", "w"], "left_semi").select("rk", "lo", (F.col("lo") + LENGTH).alias("end"))
     spanned = settled.where("k is not null and n = 1").select("rk", "lo", (F.col("hi") + LENGTH).alias("end"))
     every = whole.unionAll(spanned).unionAll(single).distinct()
     cuts = scratch.write(every.groupBy("rk").agg(F.sort_array(F.collect_list(F.struct("lo", "end"))).alias("cuts")), "cuts")
     scratch.drop("whole", "settled", "windows")
-    scratch.release()
     return cuts
 
 
+def _row_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """Rows are known by a hash of what they hold: equal rows get equal intervals. Where different rows
+    share one (by chance, n * n / 2 ** 65 pairs among n rows), another hash takes its place."""
+    key, other = F.xxhash64(F.col(id_col), F.col(text_col)), F.xxhash64(F.col(text_col), F.col(id_col), F.lit(1))
+    shared = docs.select(key.alias("k"), other.alias("o")).groupBy("k").agg((F.min("o") != F.max("o")).alias("two")).where("two")
+    clashes = [r["k"] for r in shared.collect()]  # as many as chance gives
+    return F.when(key.isin(clashes), other).otherwise(key) if clashes else key
+
+
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = False) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans, kept_sha256; with_kept adds the remaining bytes."""
     scratch = Scratch(docs.sparkSession, "suffix")
-    # rows are known by what they hold: equal rows get equal intervals
-    keyed = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("rk"), F.col(id_col).alias("id"), text_bytes(text_col).alias("bytes"))
+    keyed = docs.select(_row_key(docs, id_col, text_col).alias("rk"), F.col(id_col).alias("id"), text_bytes(text_col).alias("bytes"))
     intervals = removed_intervals(keyed, scratch)
     kind = dict(docs.dtypes)[id_col]
 

@@ -5,14 +5,17 @@ borders as spaces). Each is present or absent; its value is its log-count ratio
 the classes, and a logistic regression weighs the values. Features are those with the
 most significant ratios, so that long clean texts don't gather noise.
 
-Training reads a bounded sample: the TRAIN_ROWS labelled rows with the smallest hashes of
-their ids, whole texts; counting and feature extraction run on the executors, and the
+Training reads a bounded sample: the TRAIN_ROWS distinct labelled rows (id and text) with the
+smallest hashes, whole texts; counting and feature extraction run on the executors, and the
 driver receives at most FEATURES weights and the sample's feature lists. Scoring reads
 every text whole. Labels, lang, source and doc_id are never inputs of a score.
 
 Cases: null text counts as empty and gets the model's bias; repeated labels of a document
 count as toxic if one says so; null labels and ids are left out of training; without both
-classes in the sample all scores are the sample's share of toxic rows (0 if none).
+classes in the sample all scores are the sample's share of toxic rows (0 if none). Rows with
+one text have one score, ties included. Very long texts are read whole, in memory of a few
+numbers per code point. Extra columns aren't read, whatever their names; drop_toxic keeps
+them; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from searchlake.llm.common import Scratch, sample_rows
+
 ORDERS, BITS = (3, 4, 5), 20
 TRAIN_ROWS, FEATURES, MIN_ROWS, MIN_Z = 12_000, 4096, 4, 4.0
 THRESHOLD = 0.7
@@ -101,9 +106,7 @@ def logistic(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, l2: float = 1
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
     """Fit on labelled rows of docs; the caller leaves held-out rows out of labels."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col).cast("int")).alias("__y"))
-    chosen = known.join(docs.select(F.col(id_col).alias("__id")).distinct(), "__id").orderBy(F.xxhash64("__id"), "__id").limit(rows)
-    chosen = docs.sparkSession.createDataFrame(chosen.collect(), chosen.schema)
-    texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).join(F.broadcast(chosen), "__id").select("__text", "__y")
+    texts = Scratch(docs.sparkSession, "toxicity").write(sample_rows(docs, id_col, text_col, rows, known=known).select("__text", "__y"), "sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros((2, 1 << BITS), np.int32)

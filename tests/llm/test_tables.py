@@ -8,13 +8,17 @@ import re
 import duckdb
 import numpy as np
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from searchlake.llm import ann, chat, queries, urlfilter
+from searchlake.llm import ann, chat, pii, queries, sentencepiece_bpe, toxicity, urlfilter
 from searchlake.llm.common import Scratch
 from searchlake.llm.components import components
 
+from test_texts import brute_fingerprint, brute_overlaps, brute_pii
+from test_texts import components as brute_components
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -205,15 +209,52 @@ def test_components(spark, n):
     assert {(r.node, r.root) for r in got} == {(i + 1, 0) for i in range(n)} | ({(1001, 1000)} if n else set())
 
 
-def test_pipeline(spark):
+def test_pipeline_equals_brute_force(spark):
+    """Each stage's decisions by plain Python, and the library's encoding of what is left."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.train(docs, labels.where(~toxicity.held_out("doc_id")))
+    rows = [r for r in rows if model.score(r[1]) < 0.7]
+    prints = np.array([brute_fingerprint(t) for _, t in rows], np.uint64)
+    label, least = brute_components(prints), {}
+    for (i, _), c in zip(rows, label, strict=True):
+        least[c] = min(i, least.get(c, i))
+    rows = [r for r in rows if r[0] in set(least.values())]
+    bad = {r for r, _ in brute_overlaps([t for _, t in rows], [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()])}
+    rows = [r for n, r in enumerate(rows) if n not in bad]
+    # base spans by brute force, and the few that the model adds
+    found = {r.doc_id: {s for s in r.spans.split(",") if s} for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    clean = []
+    for i, t in rows:
+        out, at = [], 0
+        assert found[i] >= {f"{k}:{a}:{b}" for k, a, b in brute_pii(t)}
+        for a, b, kind in sorted((int(a), int(b), k) for k, a, b in (s.split(":") for s in found[i])):
+            if a >= at:
+                out += [t[at:a], f"<{kind.upper()}>"]
+            at = max(at, b)
+        clean.append((i, "".join(out) + t[at:]))
+    library, want = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_bpe.default_model()), []
+    for i, t in clean:
+        ids = [*library.encode(t), 2]
+        want.append((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest()))
+    got = corpus_pipeline.run(spark, SF).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
+    assert len(want) > 100 and sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    out = corpus_pipeline.run(spark, SF).collect()
-    ids = {r.doc_id for r in docs.select("doc_id").collect()}
-    assert 0.5 * len(ids) < len(out) <= len(ids) and {r.doc_id for r in out} <= ids and len({r.doc_id for r in out}) == len(out)
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (None, "a null id"), (-3, "word " * 30_000), (-4, "repeated"), (-4, "repeated"), (-4, "other text of one id")], "doc_id long, text string")
+    names = "spans raw accepted row v n h fp rk root seq score __n".split()
+    path = str(tmp_path / "given")
+    docs.limit(30).unionByName(odd, allowMissingColumns=True).select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)]).write.parquet(path)
+    given = spark.read.parquet(path)  # as a stage is given its predecessor's rows
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        kept = stage(spark, docs, SF)
-        assert kept.columns == docs.columns and kept.dtypes == docs.dtypes, name
+        kept = stage(spark, given, SF)
+        assert kept.columns == given.columns and kept.dtypes == given.dtypes, name
+        assert all(tuple(r)[-len(names) :] == tuple(range(len(names))) for r in kept.collect()), name
         assert stage(spark, docs.where("false"), SF).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, given, SF).count() == given.count()
 
 
 def test_registered_queries_keep_contract_columns(spark):

@@ -9,6 +9,7 @@ import time
 import numpy as np
 import pytest
 import sentencepiece
+import xxhash
 from pyspark.sql import functions as F
 
 from searchlake.llm import decontaminate, pii, secrets, sentencepiece_bpe, simhash, suffix_dedup, toxicity
@@ -182,6 +183,29 @@ def test_secrets_base_spans(docs, empty):
     assert secrets.find_secrets(empty).count() == 0
 
 
+def planted_secrets(seed=4):
+    """Texts with keys that no base pattern finds, and long names that aren't secrets."""
+    pick = random.Random(seed)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n, of=letters: "".join(pick.choices(of, k=n))
+    shapes = [lambda: key(40), lambda: "ghp_" + key(36), lambda: "sk_live_" + key(24), lambda: "AIza" + key(35, letters + "-_"), lambda: key(32, "abcdefghijklmnopqrstuvwxyz0123456789"), lambda: key(44, letters + "+/") + "=="]
+    names = ["getDatabaseConnectionPoolSize", "number_of_retry_attempts", "org/apache/commons/logging/impl", "Content-Disposition-Filename", "internationalization", "user-account-settings-page", "MAXIMUM_HEADER_LENGTH", "2024-01-15T10-22-33", "0000000000000000", "----------------"]
+    good = [f"the value {s()} was there" for s in shapes for _ in range(30)]
+    bad = [f"the value {n} was there" for n in names for _ in range(3)] + ["http://example.com/articles/archive/category/introduction"]
+    return good, bad
+
+
+def test_secrets_added_spans(spark):
+    """What the models add, against planted truth; models are trained on texts of their own."""
+    good, bad = planted_secrets()
+    rows = [(i, t) for i, t in enumerate(good + bad)]
+    found = {r.doc_id: r for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string"), model=secrets.fit()).collect()}
+    hit = sum(found[i].spans == f"random:10:{len(t) - 10}" for i, t in enumerate(good))
+    wrong = sum(found[len(good) + i].n_random for i in range(len(bad)))
+    print("recall", hit / len(good), "precision", hit / (hit + wrong))
+    assert hit >= 0.9 * len(good) and wrong <= 0.02 * hit
+
+
 def test_secret_model_separates():
     model = secrets.fit()
     held = secrets.random_strings(300, seed=99)
@@ -250,6 +274,15 @@ def test_suffix_dedup_long_texts(spark):
     assert got[1].n_removed == 0 and got[3].n_removed == 700
 
 
+def brute_fingerprint(text):
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)) if w]
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
 def components(prints):
     apart = np.bitwise_count(prints[:, None] ^ prints[None, :])
     label = np.arange(len(prints))
@@ -264,18 +297,8 @@ def test_simhash_components(docs, empty):
     rows = docs.collect()
     got = simhash.near_duplicates(docs.where("doc_id is not null")).collect()
 
-    def brute(text):
-        words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)) if w]
-        if not words:
-            return 0
-        import xxhash
-
-        shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
-        h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
-        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-
     rows = [r for r in rows if r.doc_id is not None]
-    prints = np.array([brute(r.text or "") for r in rows], np.uint64)
+    prints = np.array([brute_fingerprint(r.text or "") for r in rows], np.uint64)
     label = components(prints)
     least = {c: min(r.doc_id for r, k in zip(rows, label, strict=True) if k == c) for c in set(label)}
     want = sorted((r.doc_id, f"{int(p):016x}", least[c]) for r, p, c in zip(rows, prints, label, strict=True))
@@ -390,3 +413,52 @@ def test_toxicity_held_out(spark, empty):
     assert toxicity.score(empty, model).count() == 0
     none = toxicity.train(docs.where("false"), labels)
     assert {r.score for r in toxicity.score(odd, none).collect()} == {0.0} or all(r.score < 0.01 for r in toxicity.score(odd, none).collect())
+
+
+def test_toxicity_equals_brute_force(spark, docs):
+    """Counts, chosen features, the minimum of the loss and scores, by plain loops."""
+    own = spark.read.parquet(f"{SF}/documents.parquet").unionByName(spark.createDataFrame([(1, "repeated id"), (1, "repeated id"), (None, "no id"), (2, None)], "doc_id long, text string"), allowMissingColumns=True).withColumn("score", F.lit("clash"))
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic").unionByName(spark.createDataFrame([(1, 1), (1, 0), (None, 1), (3, None)], "doc_id long, toxic int"))
+    model = toxicity.train(own, labels)
+
+    def grams(text):
+        points = [ord(c) for c in " " + " ".join(text.lower().split()) + " "]
+        out = set()
+        for order in (3, 4, 5):
+            for at in range(len(points) - order + 1):
+                h = points[at] * 0x9E3779B1 % 2**32
+                for p in points[at + 1 : at + order]:
+                    h = ((h ^ h >> 15) * 0x85EBCA6B + p * 0x9E3779B1) % 2**32
+                out.add((h ^ h >> 16) * 0xC2B2AE35 % 2**32 >> 12)
+        return out
+
+    truth = {}
+    for r in labels.collect():
+        if r.doc_id is not None and r.toxic is not None:
+            truth[r.doc_id] = max(truth.get(r.doc_id, 0), r.toxic)
+    rows = sorted({(r.doc_id, r.text or "") for r in own.collect() if r.doc_id in truth})
+    y, sets = np.array([truth[i] > 0 for i, _ in rows]), [grams(t) for _, t in rows]
+    counts = {}
+    for toxic, own_grams in zip(y, sets, strict=True):
+        for g in own_grams:
+            counts.setdefault(g, [0, 0])[int(toxic)] += 1
+    ratio = {}
+    for g, (n0, n1) in counts.items():
+        if n0 + n1 >= toxicity.MIN_ROWS:
+            r = np.log((n1 + 1) / (y.sum() + 2)) - np.log((n0 + 1) / ((~y).sum() + 2))
+            if abs(r) / np.sqrt(1 / (n1 + 1) + 1 / (n0 + 1)) >= toxicity.MIN_Z:
+                ratio[g] = r
+    assert len(ratio) <= toxicity.FEATURES and set(ratio) == set(model.ids.tolist())
+    weight = dict(zip(model.ids.tolist(), model.weights.tolist(), strict=True))
+    scores = [1 / (1 + np.exp(-(model.bias + sum(weight[g] for g in s if g in weight)))) for s in sets]
+    # at the minimum of the penalised loss its slope is zero
+    for g, r in ratio.items():
+        slope = sum((p - t) * r for p, t, s in zip(scores, y, sets, strict=True) if g in s) + weight[g] / r
+        assert abs(slope) < 0.05, slope
+    assert abs(sum(p - t for p, t in zip(scores, y, strict=True))) < 0.05
+    got = toxicity.score(own, model).collect()
+    assert len(got) == own.count()
+    for (i, _), p in zip(rows, scores, strict=True):
+        assert any(abs(r.score - p) < 1e-9 for r in got if r.doc_id == i)
+    kept = toxicity.drop_toxic(own, model)
+    assert kept.columns == own.columns and kept.count() == sum(r.score < toxicity.THRESHOLD for r in got)
