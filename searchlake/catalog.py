@@ -18,7 +18,7 @@ from searchlake.operators import sorting
 from searchlake.operators import vectors as vector_ops
 from searchlake.plans.compiler import Compiler
 from searchlake.plans.query import parse
-from searchlake.sources.index import Index, alias, postings_of, synonym_table
+from searchlake.sources.index import Index, Store, alias, postings_of, read_tables, synonym_table, write_tables
 from searchlake.sources.mapping import DocumentMapping, FieldMapping, IndexMapping
 
 Q = Callable[[SparkSession, str], DataFrame]
@@ -42,7 +42,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # --- indexes over the tables, built once per session and stored -----------------------------
 
-_BUILT: dict[tuple[str, str, str], Index] = {}
+_BUILT: dict[tuple[str, str, str, str], Index] = {}
 WORDS = "[A-Za-z0-9]+"
 
 
@@ -51,19 +51,29 @@ def _words_mapping() -> IndexMapping:
     return IndexMapping(analysis={"tokenizers": {"words": {"type": "regexp", "regexp": WORDS}}, "analyzers": {"words": {"tokenizer": "words", "token_filters": ["to_lower"], "native": analysis.native_regexp(WORDS)}}}, default_analyzer="words")
 
 
+def _shared(spark: SparkSession) -> str:
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="searchlake-index-")
+    return shared
+
+
+def _state(spark: SparkSession, sf_dir: str) -> str:
+    """What tells a folder's tables from others that take their place: their times of change."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    return " ".join(sorted(f"{f.getPath().getName()}:{f.getModificationTime()}:{f.getLen()}" for f in files))
+
+
 def _stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Index]) -> Index:
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = (spark.sparkContext.applicationId, sf_dir, name, _state(spark, sf_dir))
     if key not in _BUILT:
         built = build()
-        shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="searchlake-index-")
-        root = f"{shared}/index-{name}-{uuid.uuid4().hex}"
-        clustered = built.postings.repartitionByRange("field", "term").sortWithinPartitions("field", "term", "doc_id")
-        clustered.write.parquet(f"{root}/postings")
-        built.docs.write.parquet(f"{root}/docs")
-        built.values.write.partitionBy("field").parquet(f"{root}/values")
-        read = spark.read.parquet
-        read(f"{root}/postings").groupBy("field", "term").agg(F.count("*").alias("df")).write.parquet(f"{root}/terms")
-        _BUILT[key] = replace(built, docs=read(f"{root}/docs"), postings=read(f"{root}/postings"), values=read(f"{root}/values"), term_stats=read(f"{root}/terms"))
+        root = f"{_shared(spark)}/index-{name}-{uuid.uuid4().hex}"
+        write_tables(built, root)
+        _BUILT[key] = read_tables(spark, root, built)
         atexit.register(_remove, spark, root)
     return _BUILT[key]
 
@@ -375,6 +385,28 @@ def search_after(spark, d):
     return sorting.page(keyed, order, 10, search_after=[700, "5"]).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("k0.d").alias("n_chars"))
 
 
+# documents have no missing values: every third is taken to have none
+MISSING = "SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN n_chars::double END AS n_chars FROM documents"
+
+
+def _with_missing(spark: SparkSession, d: str, missing: str, **edge: list) -> DataFrame:
+    index = documents(spark, d)
+    own = replace(index, values=index.values.where("field = 'n_chars' and cast(doc_id as long) % 3 > 0"))
+    order = sorting.parse_order([{"by": "field", "field": "n_chars", "missing": missing}, "_id"])
+    keyed = sorting.with_keys(own, Compiler(index).hits(parse({"match_all": {}})), order)
+    return sorting.page(keyed, order, 12, **edge).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("k0.d").alias("n_chars"))
+
+
+@register("search_before_missing", f"SELECT * FROM ({MISSING}) WHERE n_chars IS NOT NULL OR doc_id::varchar < '12' ORDER BY n_chars DESC NULLS FIRST, doc_id::varchar DESC LIMIT 12")
+def search_before_missing(spark, d):
+    return _with_missing(spark, d, "last", search_before=[None, "12"])
+
+
+@register("search_after_missing", f"SELECT * FROM ({MISSING}) WHERE n_chars IS NOT NULL OR doc_id::varchar > '993' ORDER BY n_chars NULLS FIRST, doc_id::varchar LIMIT 12")
+def search_after_missing(spark, d):
+    return _with_missing(spark, d, "first", search_after=[None, "993"])
+
+
 @register("search_before", "SELECT * FROM (SELECT doc_id, n_chars::double AS n_chars FROM documents WHERE n_chars < 700 ORDER BY n_chars DESC, doc_id::varchar DESC LIMIT 10)")
 def search_before(spark, d):
     index = documents(spark, d)
@@ -541,8 +573,28 @@ def nested_conjunction(spark, d):
 
 @register("synonym_match", group_sql("SELECT 'the' AS term, 1.0 AS b UNION ALL SELECT 'that', 0.5 UNION ALL SELECT 'this', 0.5"))
 def synonym_match(spark, d):
-    index = replace(documents(spark, d), synonyms=synonym_table(spark, "words", [{"synonyms": ["the", "that", "this"]}]))
-    return found(index, {"term": "the", "field": "text"})
+    """A field expands by the collection of its own source; another collection's pairs don't count."""
+    own = documents(spark, d)
+    table_ = synonym_table(spark, "articles", [{"synonyms": ["the", "that", "this"]}]).unionAll(synonym_table(spark, "others", [{"input": ["the"], "synonyms": ["was"]}]))
+    mapping = replace(own.mapping, analysis=own.mapping.analysis | {"synonym_sources": {"words": {"collection": "articles"}}}, default_synonym_source="words")
+    return found(replace(own, mapping=mapping, synonyms=table_), {"term": "the", "field": "text"})
+
+
+@register("store_batches", "SELECT doc_id, round(n_chars, 0)::double AS n_chars FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents WHERE doc_id % 5 <> 0) WHERE n_chars >= 500")
+def store_batches(spark, d):
+    """A stored index after a batch of upserts and one of deletes, each a segment of its own."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "n_chars")
+    store = Store.create(spark, f"{_shared(spark)}/store-{uuid.uuid4().hex}")
+    atexit.register(_remove, spark, store.path)
+    store.batch(docs.select("doc_id", F.to_json(F.struct("n_chars")).alias("source")))
+    first = store.current()
+    store.batch(docs.where("doc_id % 3 = 0").select("doc_id", F.to_json(F.struct((F.col("n_chars") + 1).alias("n_chars"))).alias("source")))
+    last = store.batch(docs.where("doc_id % 5 = 0").select("doc_id", F.lit(None).cast("string").alias("source")))
+    store.rollback(first)
+    store.rollback(last)
+    hits = found(store.open(), {"min": 500, "field": "n_chars"}, score=False)
+    values = store.open().values.where("field = 'n_chars'").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("d").alias("n_chars"))
+    return hits.select("doc_id").join(values, "doc_id")
 
 
 @register("alias_union", f"WITH {TOK} SELECT doc_id, round(w, 5) AS score FROM leaf WHERE term = 'was'")

@@ -119,7 +119,8 @@ def after(hits: DataFrame, order: list[SortKey], keys: list[Any], reverse: bool
         else:
             value = F.lit(float(raw)) if k.by in ("score", "geo_distance") else F.lit(str(raw))
         if raw is None:
-            further, same = F.lit(False), c.isNull()
+            # beyond the missing ones lie the values, unless missing ones are last
+            further, same = c.isNotNull() & F.lit((k.missing == "last") == reverse), c.isNull()
         else:
             further = (c < value if k.desc != reverse else c > value) | (c.isNull() & F.lit((k.missing == "last") != reverse))
             same = c == value

@@ -107,9 +107,10 @@ class Compiler:
         return self._leaf(Node("constant", boost=q.weight, frame=self.index.docs.where(F.col("doc_id").isin(ids)).select("doc_id")))
 
     def synonyms_of(self, fld: str, term: str) -> list[str]:
-        if self.index.synonyms is None:
+        collection = self.index.mapping.synonym_collection(fld)
+        if self.index.synonyms is None or collection is None:
             return []
-        found = self.index.synonyms.where(F.col("lhs") == term).select("rhs").distinct().orderBy("rhs").collect()
+        found = self.index.synonyms.where((F.col("collection") == collection) & (F.col("lhs") == term)).select("rhs").distinct().orderBy("rhs").collect()
         return [r[0] for r in found]
 
     def _bind_term(self, q: Query, lenient: bool) -> Node:

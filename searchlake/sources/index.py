@@ -4,7 +4,8 @@ An index is a mapping and three DataFrames. ``docs``: one row per document (and
 child). ``values``: one row per field value. ``postings``: one row per field, term and
 document, with frequency, field length and locations. Dictionaries and statistics are
 groupings of the postings; stored indexes keep them as tables of their own, and postings
-are range-clustered by field and term, so a query reads the row groups of its terms only.
+are range-clustered by field, term and document, so a query reads the row groups of its
+terms only.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import math
 import time
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
-from functools import cached_property
+from functools import cached_property, reduce
 from typing import Any
 
 import pandas as pd
@@ -226,14 +227,55 @@ def synonym_table(spark: SparkSession, collection: str, definitions: list[dict[s
     return spark.createDataFrame(sorted(pairs), "collection string, lhs string, rhs string")
 
 
-class Store:
-    """An index on disk: versions of its tables, and a pointer to the current one.
+TABLES = ("docs", "values", "postings", "terms")
+#: Groups of one task that an aggregation into lists keeps in a hash table before it sorts.
+_LIST_GROUPS = ("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "20000")
+
+
+def write_tables(index: Index, at: str) -> None:
+    """The one layout of stored indexes: values by field, postings by field, term and document, so that
+    a query reads the row groups of its fields and terms, and a hot term is in many files."""
+    spark = index.spark
+    before = spark.conf.get(_LIST_GROUPS[0], None)
+    spark.conf.set(*_LIST_GROUPS)
+    try:
+        index.docs.write.mode("overwrite").parquet(f"{at}/docs")
+        index.values.repartitionByRange("field", "doc_id").sortWithinPartitions("field", "doc_id").write.mode("overwrite").parquet(f"{at}/values")
+        # the range sort samples its input, so that is written once before it is sorted
+        index.postings.write.mode("overwrite").parquet(f"{at}/unsorted")
+    finally:
+        spark.conf.set(_LIST_GROUPS[0], before) if before is not None else spark.conf.unset(_LIST_GROUPS[0])
+    own = spark.read.schema(index.postings.schema).parquet(f"{at}/unsorted")
+    order = ("field", "term", "doc_id")
+    own.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{at}/postings")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{at}/unsorted")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    terms = spark.read.parquet(f"{at}/postings").groupBy("field", "term").agg(F.count("*").alias("df"))
+    terms.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{at}/terms")
+
+
+def read_tables(spark: SparkSession, at: str, index: Index) -> Index:
+    """The stored tables of an index in its place."""
+    read = spark.read.parquet
+    return replace(index, docs=read(f"{at}/docs"), values=read(f"{at}/values"), postings=read(f"{at}/postings"), term_stats=read(f"{at}/terms"))
+
 
-    A version is written completely before the pointer moves, so readers keep the version
-    they opened. Upserts and deletes are batches; of several rows for a document the last
-    one (by seq) wins. Old versions stay for rollback until they are pruned.
+class Store:
+    """An index on disk: segments, and versions that list them.
+
+    A batch writes one segment of its own documents and a table of what it replaces or
+    deletes in earlier ones; nothing else is read or analysed again. A version is a small
+    file with the segments that count, and a pointer names the current one, so readers keep the
+    version they opened. Readers leave out replaced documents and subtract them from the
+    dictionary. When a version would have more than MERGE segments, the smaller ones are merged
+    into one (what they hold live is analysed again): each merge takes the newest run of segments
+    in which none has more rows than all newer ones together, so a row is merged about as often
+    as the index doubles. Of several rows for a document in a batch the last one (by seq) wins.
+    Old versions stay for rollback until they are pruned.
     """
 
+    MERGE = 8
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
@@ -241,8 +283,7 @@ class Store:
     def create(spark: SparkSession, path: str, mapping: IndexMapping | dict | None = None) -> Store:
         own = Store(spark, path)
         mapping = mapping if isinstance(mapping, IndexMapping) else IndexMapping.of(mapping or {})
-        empty = spark.createDataFrame([], "doc_id string, seq long, source string")
-        own._write(empty, mapping, own._next())
+        own._commit([], mapping, None)
         return own
 
     # small files through the Hadoop file system, so any storage works
@@ -260,43 +301,94 @@ class Store:
     def _get(self, path: str) -> str:
         return "\n".join(r[0] for r in self.spark.read.option("wholetext", True).text(path).collect())
 
-    def versions(self) -> list[int]:
-        fs, p = self._fs(self.path)
+    def _names(self, path: str, prefix: str) -> list[int]:
+        fs, p = self._fs(path)
         if not fs.exists(p):
             return []
         names = [s.getPath().getName() for s in fs.listStatus(p)]
-        return sorted(int(n[2:]) for n in names if n.startswith("v="))
+        return sorted(int(n[len(prefix) :]) for n in names if n.startswith(prefix))
+
+    def versions(self) -> list[int]:
+        return self._names(self.path, "v=")
 
     def current(self) -> int:
         return int(self._get(f"{self.path}/CURRENT"))
 
-    def _next(self) -> int:
-        return max([0, *self.versions()]) + 1
-
     def mapping(self, version: int | None = None) -> IndexMapping:
         return IndexMapping.of(self._get(f"{self.path}/v={version or self.current()}/mapping.json"))
 
-    def _write(self, docs: DataFrame, mapping: IndexMapping, version: int) -> None:
-        at = f"{self.path}/v={version}"
-        docs.write.mode("overwrite").parquet(f"{at}/source")
-        built = Index.from_json(self.spark.read.parquet(f"{at}/source"), mapping)
-        built.docs.write.mode("overwrite").parquet(f"{at}/docs")
-        built.values.write.mode("overwrite").parquet(f"{at}/values")
-        clustered = built.postings.repartitionByRange("field", "term").sortWithinPartitions("field", "term", "doc_id")
-        clustered.write.mode("overwrite").parquet(f"{at}/postings")
-        terms = self.spark.read.parquet(f"{at}/postings").groupBy("field", "term").agg(F.count("*").alias("df"))
-        terms.write.mode("overwrite").parquet(f"{at}/terms")
+    def segments(self, version: int | None = None) -> list[dict[str, int]]:
+        """The segments of a version, oldest first: number and rows."""
+        return json.loads(self._get(f"{self.path}/v={version or self.current()}/segments.json"))["segments"]
+
+    def _commit(self, segments: list[dict[str, int]], mapping: IndexMapping, base: int | None, synonyms: DataFrame | None = None) -> int:
+        """A new version; synonyms are kept with a version, and those of the base go along."""
+        version = max([0, *self.versions()]) + 1
+        at, own = f"{self.path}/v={version}", None if base is None else self._synonyms(base)
+        if synonyms is not None:
+            own = synonyms if own is None else own.unionByName(synonyms).distinct()
+        if own is not None:
+            own.write.mode("overwrite").parquet(f"{at}/synonyms")
+        self._put(f"{at}/segments.json", json.dumps({"segments": segments}))
         self._put(f"{at}/mapping.json", mapping.to_json())
         self._put(f"{self.path}/CURRENT", str(version))
+        return version
+
+    def _synonyms(self, version: int) -> DataFrame | None:
+        at = f"{self.path}/v={version}/synonyms"
+        fs, p = self._fs(at)
+        return self.spark.read.parquet(at) if fs.exists(p) else None
+
+    def _at(self, segment: dict[str, int]) -> str:
+        return f"{self.path}/segments/s={segment['n']}"
+
+    def _segment(self, docs: DataFrame, mapping: IndexMapping, dead: DataFrame | None) -> dict[str, int]:
+        """A segment of documents (doc_id, seq, source); dead: ids that it replaces in earlier segments."""
+        n = max([0, *self._names(f"{self.path}/segments", "s=")]) + 1
+        at = self._at({"n": n})
+        docs.write.mode("overwrite").parquet(f"{at}/source")
+        source = self.spark.read.schema(docs.schema).parquet(f"{at}/source")
+        write_tables(Index.from_json(source, mapping), at)
+        if dead is not None:
+            dead.select("doc_id").distinct().write.mode("overwrite").parquet(f"{at}/dead")
+        return {"n": n, "rows": source.count(), "dead": int(dead is not None)}
+
+    def _dead(self, segments: list[dict[str, int]]) -> DataFrame | None:
+        """What later segments replace."""
+        parts = [self.spark.read.parquet(f"{self._at(s)}/dead") for s in segments if s["dead"]]
+        return reduce(DataFrame.unionAll, parts) if parts else None
+
+    def _live(self, segments: list[dict[str, int]], name: str, key: str = "doc_id") -> DataFrame:
+        parts = []
+        for i, s in enumerate(segments):
+            own, dead = self.spark.read.parquet(f"{self._at(s)}/{name}"), self._dead(segments[i + 1 :])
+            parts.append(own if dead is None else own.join(dead, own[key] == dead["doc_id"], "left_anti"))
+        return reduce(DataFrame.unionAll, parts)
+
+    def _dictionary(self, segments: list[dict[str, int]]) -> DataFrame:
+        """Stored counts, less the postings of replaced documents."""
+        parts = []
+        for i, s in enumerate(segments):
+            parts.append(self.spark.read.parquet(f"{self._at(s)}/terms"))
+            dead = self._dead(segments[i + 1 :])
+            if dead is not None:
+                gone = self.spark.read.parquet(f"{self._at(s)}/postings").join(dead, "doc_id", "left_semi")
+                parts.append(gone.groupBy("field", "term").agg((-F.count("*")).alias("df")))
+        every = reduce(DataFrame.unionAll, parts)
+        return every if len(parts) == 1 else every.groupBy("field", "term").agg(F.sum("df").alias("df")).where("df > 0")
 
     def open(self, version: int | None = None) -> Index:
         version = version or self.current()
-        at = f"{self.path}/v={version}"
-        read = self.spark.read.parquet
-        return Index(self.mapping(version), read(f"{at}/docs"), read(f"{at}/values"), read(f"{at}/postings"), term_stats=read(f"{at}/terms"), name=self.path.rsplit("/", 1)[-1])
+        segments, mapping, name = self.segments(version), self.mapping(version), self.path.rsplit("/", 1)[-1]
+        synonyms = self._synonyms(version)
+        if not segments:
+            empty = self.spark.createDataFrame([], "doc_id string, seq long, source string")
+            return replace(Index.from_json(empty, mapping, synonyms=synonyms), name=name)
+        return Index(mapping, *(self._live(segments, t) for t in TABLES[:3]), synonyms=synonyms, term_stats=self._dictionary(segments), name=name)
 
     def source(self, version: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v={version or self.current()}/source")
+        segments = self.segments(version)
+        return self._live(segments, "source") if segments else self.spark.createDataFrame([], "doc_id string, seq long, source string")
 
     def batch(self, changes: DataFrame) -> int:
         """changes: doc_id, source (null deletes), optionally seq. Returns the new version."""
@@ -305,19 +397,40 @@ class Store:
         own = changes.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("seq").cast("long").alias("seq"), "source")
         last = Window.partitionBy("doc_id").orderBy(F.desc("seq"), F.desc_nulls_last("source"))
         latest = own.withColumn("n", F.row_number().over(last)).where("n = 1").drop("n")
-        kept = self.source().join(latest.select("doc_id"), "doc_id", "left_anti")
-        version = self._next()
-        self._write(kept.unionByName(latest.where("source is not null")), self.mapping(), version)
-        return version
+        base = self.current()
+        mapping, segments = self.mapping(base), self.segments(base)
+        dead = latest.select("doc_id")
+        if segments and mapping.nested_paths():  # children have ids of their own
+            roots = self._live(segments, "docs").select("doc_id", "root_id")
+            dead = roots.join(dead.withColumnRenamed("doc_id", "root_id"), "root_id", "left_semi").select("doc_id")
+        segments = [*segments, self._segment(latest.where("source is not null"), mapping, dead if segments else None)]
+        if len(segments) > self.MERGE:
+            segments = self._merged(segments, mapping)
+        return self._commit(segments, mapping, base)
+
+    def _merged(self, segments: list[dict[str, int]], mapping: IndexMapping) -> list[dict[str, int]]:
+        """The newest segments as one: as many as have no more rows than all newer ones, two at least."""
+        first, newer = len(segments) - 2, segments[-1]["rows"] + segments[-2]["rows"]
+        while first and segments[first - 1]["rows"] <= max(newer, 1):
+            first -= 1
+            newer += segments[first]["rows"]
+        kept, joined = segments[:first], segments[first:]
+        dead = self._dead(joined) if kept else None
+        return [*kept, self._segment(self._live(joined, "source"), mapping, dead)]
 
     def delete(self, *ids: str) -> int:
         return self.batch(self.spark.createDataFrame([(i, None) for i in ids], "doc_id string, source string"))
 
     def update_mapping(self, mapping: IndexMapping | dict) -> int:
         """A new version with another mapping; fields that it drops are gone from then on."""
-        version = self._next()
-        self._write(self.source(), mapping if isinstance(mapping, IndexMapping) else IndexMapping.of(mapping), version)
-        return version
+        mapping = mapping if isinstance(mapping, IndexMapping) else IndexMapping.of(mapping)
+        base = self.current()
+        return self._commit([self._segment(self.source(base), mapping, None)] if self.segments(base) else [], mapping, base)
+
+    def add_synonyms(self, collection: str, definitions: list[dict[str, list[str]]]) -> int:
+        """Definitions of a collection, in a new version."""
+        base = self.current()
+        return self._commit(self.segments(base), self.mapping(base), base, synonym_table(self.spark, collection, definitions))
 
     def rollback(self, version: int) -> None:
         if version not in self.versions():
@@ -325,16 +438,25 @@ class Store:
         self._put(f"{self.path}/CURRENT", str(version))
 
     def prune(self, keep: int = 2) -> None:
-        own = self.versions()
-        for v in own[:-keep]:
-            if v != self.current():
-                fs, p = self._fs(f"{self.path}/v={v}")
-                fs.delete(p, True)
+        """Drop all but the newest versions (and the current one), and segments that none of them lists."""
+        own, current = self.versions(), self.current()
+        gone = [v for v in own[:-keep] if v != current]
+        used = {s["n"] for v in own if v not in gone for s in self.segments(v)}
+        doomed = [f"{self.path}/v={v}" for v in gone] + [f"{self.path}/segments/s={n}" for n in self._names(f"{self.path}/segments", "s=") if n not in used]
+        for at in doomed:
+            fs, p = self._fs(at)
+            fs.delete(p, True)
 
     def copy_to(self, path: str) -> Store:
-        """A copy of the current version."""
-        other = Store(self.spark, path)
-        other._write(self.source(), self.mapping(), 1)
+        """A copy of the current version: its files, as they are."""
+        other, jvm, version = Store(self.spark, path), self.spark.sparkContext._jvm, self.current()
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        names = [f"segments/s={s['n']}" for s in self.segments(version)] + [f"v={version}"]
+        for name in names:
+            (fs, a), (to, b) = self._fs(f"{self.path}/{name}"), other._fs(f"{other.path}/{name}")
+            to.mkdirs(b.getParent())
+            jvm.org.apache.hadoop.fs.FileUtil.copy(fs, a, to, b, False, conf)
+        other._put(f"{other.path}/CURRENT", str(version))
         return other
 
     def set_internal(self, key: str, value: str | None) -> None:

@@ -152,6 +152,23 @@ class IndexMapping:
                 return nearest
         return self.default_analyzer
 
+    def synonym_collection(self, path: str) -> str | None:
+        """The collection of synonyms that queries on a path use: that of the field's own source, else of the nearest default."""
+        name, parts = self.default_synonym_source, path.split(".")
+        for d in [*self.types.values(), self.default_mapping]:
+            nearest, at = d.default_synonym_source, d
+            for part in parts:
+                if part not in at.properties:
+                    break
+                at = at.properties[part]
+                nearest = at.default_synonym_source or nearest
+            else:
+                nearest = next((f.synonym_source for f in at.fields if f.synonym_source and f.name in (None, parts[-1])), nearest)
+            if nearest:
+                name = nearest
+                break
+        return None if name is None else ((self.analysis.get("synonym_sources") or {}).get(name) or {}).get("collection", name)
+
     def nested_paths(self) -> list[str]:
         def walk(d: DocumentMapping, path: str) -> Iterator[str]:
             for name, p in d.properties.items():

@@ -176,7 +176,11 @@ def test_dictionary(people):
 def test_synonyms(spark, people):
     from dataclasses import replace
 
-    own = replace(people, synonyms=synonym_table(spark, "x", [{"input": ["numbers"], "synonyms": ["math"]}]))
+    table = synonym_table(spark, "x", [{"input": ["numbers"], "synonyms": ["math"]}])
+    own = replace(people, synonyms=table, mapping=replace(people.mapping, default_synonym_source="x"))
+    # a field without a source, or with another one, isn't expanded
+    assert ids(replace(people, synonyms=table), {"match": "numbers", "field": "tags"}) == []
+    assert ids(replace(own, mapping=replace(people.mapping, default_synonym_source="y")), {"match": "numbers", "field": "tags"}) == []
     assert ids(own, {"match": "numbers", "field": "tags"}) == list("abd")
     assert ids(own, {"match": "math", "field": "tags"}) == list("abd")
     assert ids(people, {"match": "numbers", "field": "tags"}) == []
@@ -186,7 +190,7 @@ def test_many_synonyms(spark):
     from types import SimpleNamespace
 
     table = synonym_table(spark, "x", [{"input": ["numbers"], "synonyms": [*[f"a{i:05}" for i in range(10_000)], "math"]}])
-    found = Compiler(SimpleNamespace(synonyms=table, mapping=SimpleNamespace(scoring_model="tfidf"))).synonyms_of("tags", "numbers")
+    found = Compiler(SimpleNamespace(synonyms=table, mapping=SimpleNamespace(scoring_model="tfidf", synonym_collection=lambda f: "x"))).synonyms_of("tags", "numbers")
     assert len(found) == 10_001 and found[-1] == "math"
 
 
