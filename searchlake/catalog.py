@@ -12,6 +12,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from searchlake import samples
 from searchlake.functions import analysis, dates, geo, vectors
 from searchlake.operators import facets as facet_ops
 from searchlake.operators import sorting
@@ -394,15 +395,15 @@ def _with_missing(spark: SparkSession, d: str, missing: str, **edge: list) -> Da
     own = replace(index, values=index.values.where("field = 'n_chars' and cast(doc_id as long) % 3 > 0"))
     order = sorting.parse_order([{"by": "field", "field": "n_chars", "missing": missing}, "_id"])
     keyed = sorting.with_keys(own, Compiler(index).hits(parse({"match_all": {}})), order)
-    return sorting.page(keyed, order, 12, **edge).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("k0.d").alias("n_chars"))
+    return sorting.page(keyed, order, 12, **edge).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("k0.d", F.lit(-1.0)).alias("n_chars"))
 
 
-@register("search_before_missing", f"SELECT * FROM ({MISSING}) WHERE n_chars IS NOT NULL OR doc_id::varchar < '12' ORDER BY n_chars DESC NULLS FIRST, doc_id::varchar DESC LIMIT 12")
+@register("search_before_missing", f"SELECT doc_id, coalesce(n_chars, -1) AS n_chars FROM ({MISSING}) WHERE n_chars IS NOT NULL OR doc_id::varchar < '12' ORDER BY nullif(n_chars, -1) DESC NULLS FIRST, doc_id::varchar DESC LIMIT 12")
 def search_before_missing(spark, d):
     return _with_missing(spark, d, "last", search_before=[None, "12"])
 
 
-@register("search_after_missing", f"SELECT * FROM ({MISSING}) WHERE n_chars IS NOT NULL OR doc_id::varchar > '993' ORDER BY n_chars NULLS FIRST, doc_id::varchar LIMIT 12")
+@register("search_after_missing", f"SELECT doc_id, coalesce(n_chars, -1) AS n_chars FROM ({MISSING}) WHERE n_chars IS NOT NULL OR doc_id::varchar > '993' ORDER BY nullif(n_chars, -1) NULLS FIRST, doc_id::varchar LIMIT 12")
 def search_after_missing(spark, d):
     return _with_missing(spark, d, "first", search_after=[None, "993"])
 
@@ -675,13 +676,22 @@ def analyze_path_hierarchy(spark, d):
     return _counted(table(spark, d, "pages"), _custom("single", analysis.hierarchy_filter("/")), "url")
 
 
-@register("analyze_html", None)
+@register("analyze_html", r"SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(regexp_replace(html, '<[/!]?[A-Za-z][^>]*>', ' ', 'g')), '\p{L}+')) AS term FROM pages) GROUP BY term")
 def analyze_html(spark, d):
     own = analysis.Analyzer("html", analysis.letter_tokenizer, (analysis.to_lower,), (analysis.html_filter,))
     return _counted(table(spark, d, "pages"), own, "html")
 
 
-@register("analyze_standard", None)
+STANDARD = r"(?:[\p{L}\p{M}](?:['’.:·][\p{L}\p{M}])+|\p{N}(?:['’.,;]\p{N})+|[\p{L}\p{M}\p{N}_])+"
+
+
+def _standard_sql() -> str:
+    stops = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(samples._stop_lists()["en"]))
+    pattern = STANDARD.replace("'", "''")
+    return f"SELECT term, count(*) AS n FROM (SELECT lower(unnest(regexp_extract_all(text, '{pattern}'))) AS term FROM documents) WHERE term NOT IN ({stops}) GROUP BY term"
+
+
+@register("analyze_standard", _standard_sql())
 def analyze_standard(spark, d):
     return _counted(table(spark, d, "documents"), analysis.analyzer("standard"), "text")
 
@@ -700,6 +710,10 @@ def parse_dates(spark, d):
     return table(spark, d, "events").select("event_id", F.unix_micros(dates.optional_column(text)).alias("us"))
 
 
+for _name, (_query, _sql) in samples.QUERIES.items():
+    register(_name, _sql)(_query)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best matches for a few words, by tf-idf."""
     return found(documents(spark, sf_dir), {"match": "the and was", "field": "text"}).orderBy(F.desc("score"), "doc_id").limit(10)

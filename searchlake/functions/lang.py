@@ -1,8 +1,9 @@
 """Language components: stop words, normalisers and stemmers, and the analyzers made of them.
 
 Stemmers follow the published algorithms (Porter, Snowball, the light stemmers of Savoy and
-their kin), written as suffix tables. Languages whose stemmer isn't written yet (Finnish,
-Hungarian, Polish, Romanian, Turkish) have their stop words only.
+their kin), written as suffix tables. Snowball stemmers of Romance languages,
+Finnish and Hungarian are in a module of their own. Languages whose stemmer isn't written yet
+(Croatian, Polish, Romanian, Turkish) have their stop words only.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from collections.abc import Callable, Iterable
 from dataclasses import replace
 from functools import lru_cache
 
+from searchlake.functions import snowball
+
 Stemmer = Callable[[str], str]
 
 
@@ -612,9 +615,28 @@ def normalize_hi(s: str) -> str:
     return s.replace("न्", "ं").translate(_HI_MAP)
 
 
+#: Sequences by offset in a script's block, and the scripts' first letters: devanagari and gujarati.
+_IN_SEQUENCES = {
+    0x900: "053E45:11 053E46:12 053E47:13 053E48:14 053E:06 0545:72 0546:04 0549:11 054A:12 054B:13 054C:14 0645:11 0646:12 0647:13 0648:14 0941:0A 0F45:0D 0F46:0E 0F47:10",
+    0xA80: "053E45:11 053E47:13 053E48:14 053E:06 0545:0D 0547:0F 0548:10 0549:11 054B:13 054C:14 0645:11 0647:13 0648:14",
+}
+
+
+@lru_cache
+def _in_letters() -> dict[str, str]:
+    found = {"\u09a4\u09cd\u200d": "\u09ce"}
+    for base, text in _IN_SEQUENCES.items():
+        for rule in text.split():
+            old, new = rule.split(":")
+            found["".join(chr(base + int(old[i : i + 2], 16)) for i in range(0, len(old), 2))] = chr(base + int(new, 16))
+    return found
+
+
 def normalize_in(s: str) -> str:
     """Indic letters written as sequences become one letter where Unicode has it."""
-    return unicodedata.normalize("NFC", s)
+    letters = _in_letters()
+    found = re.sub("|".join(sorted(map(re.escape, letters), key=len, reverse=True)), lambda m: letters[m[0]], s)
+    return unicodedata.normalize("NFC", found)
 
 
 def hindi(s: str) -> str:
@@ -669,12 +691,13 @@ def cjk_bigram(unigrams: bool = False):
 
 # --- registration -------------------------------------------------------------------------
 
-SNOWBALL: dict[str, Stemmer] = {"english": english, "porter": porter, "german": german, "swedish": swedish, "norwegian": norwegian, "danish": danish, "russian": russian, "dutch": dutch}
+SNOWBALL: dict[str, Stemmer] = {"english": english, "porter": porter, "german": german, "swedish": swedish, "norwegian": norwegian, "danish": danish, "russian": russian, "dutch": dutch, "spanish": snowball.spanish, "french": snowball.french, "italian": snowball.italian, "finnish": snowball.finnish, "hungarian": snowball.hungarian}
 STEMMERS: dict[str, Stemmer] = {
     "stemmer_porter": porter, "stemmer_en_snowball": english, "stemmer_en_plural": english_plural, "stemmer_de_light": german_light,
     "stemmer_de_snowball": german, "stemmer_es_light": spanish_light, "stemmer_it_light": italian_light, "stemmer_fr_light": french_light,
     "stemmer_fr_min": french_minimal, "stemmer_pt_light": portuguese_light, "stemmer_sv_snowball": swedish, "stemmer_no_snowball": norwegian,
     "stemmer_da_snowball": danish, "stemmer_ru_snowball": russian, "stemmer_ar": arabic, "stemmer_ckb": sorani, "stemmer_hi": hindi, "stemmer_nl_snowball": dutch,
+    "stemmer_es_snowball": snowball.spanish, "stemmer_fr_snowball": snowball.french, "stemmer_it_snowball": snowball.italian, "stemmer_fi_snowball": snowball.finnish, "stemmer_hu_snowball": snowball.hungarian,
 }
 NORMALIZERS = {"normalize_de": normalize_de, "normalize_es": normalize_es, "normalize_ar": normalize_ar, "normalize_fa": normalize_fa, "normalize_ckb": normalize_ckb, "normalize_hi": normalize_hi, "normalize_in": normalize_in, "possessive_en": possessive, "cjk_width": cjk_width}
 
@@ -695,6 +718,8 @@ CHAINS: dict[str, tuple[tuple[str, ...], str, tuple[str, ...]]] = {
     "fa": (("zero_width_spaces",), "unicode", (_LOWER, "normalize_ar", "normalize_fa", "stop_fa")),
     "ckb": ((), "unicode", ("normalize_ckb", _LOWER, "stop_ckb", "stemmer_ckb")),
     "hi": ((), "unicode", (_LOWER, "normalize_in", "normalize_hi", "stop_hi", "stemmer_hi")),
+    "fi": ((), "unicode", (_LOWER, "stop_fi", "stemmer_fi_snowball")),
+    "hu": ((), "unicode", (_LOWER, "stop_hu", "stemmer_hu_snowball")),
     "cjk": ((), "unicode", ("cjk_width", _LOWER, "cjk_bigram")),
 }
 
