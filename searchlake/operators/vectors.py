@@ -18,29 +18,41 @@ MAX_K = 10_000
 def knn(index: Index, clauses: list[dict[str, Any]], *, eligible: list[DataFrame | None] | None = None, operator: str = "or") -> DataFrame:
     """(doc_id, clause, s): the k best documents of each clause {field, vector, k, boost}.
 
-    All clauses are scored in one scan of the vectors; a document with several vectors
-    counts by its best. Candidates are cut to k per clause before anything is shuffled
-    together. eligible: documents that a clause may return.
+    Clauses without a filter are scored in one scan of the vectors, the others in one each.
+    Where no document has several vectors the best k rows of each partition are all that is
+    shuffled; else a document counts by its best vector. eligible: documents that a clause may
+    return.
     """
     if operator not in ("or", "and"):
         raise ValueError("the operator is or, or and")
     norm = 1 / math.sqrt(sum(float(c.get("boost") or 1.0) ** 2 for c in clauses)) if clauses else 1.0
-    parts = []
+    vector_rows = index.values.where((F.col("kind") == "vector") & F.col("field").isin(sorted({c["field"] for c in clauses})))
+    several = bool(vector_rows.where((F.size("ap") > 0) | (F.col("doc_id") != F.col("root_id"))).limit(1).count())
+    scored, sizes = [], []
     for i, c in enumerate(clauses):
         k = int(c["k"])
         if not 1 <= k <= MAX_K:
             raise ValueError(f"k is 1 to {MAX_K}")
         query = c.get("vector") or vectors.decode_base64(c["vector_base64"])
-        rows = index.values.where((F.col("field") == c["field"]) & (F.col("kind") == "vector") & (F.size("vec") == len(query)))
-        if eligible and eligible[i] is not None:
-            rows = rows.join(eligible[i].select("doc_id"), "doc_id", "left_semi")
-        metric = F.lit(None)
+        metric = F.lit(None).cast("double")
         for name in (vectors.L2, vectors.DOT, vectors.COSINE):
             metric = F.when(F.col("s") == name, vectors.similarity(F.col("vec"), query, name)).otherwise(metric)
         boost = float(c.get("boost") or 1.0) * norm if len(clauses) > 1 or c.get("boost") else 1.0
-        best = rows.select(F.col("root_id").alias("doc_id"), metric.alias("raw")).groupBy("doc_id").agg(F.max("raw").alias("raw"))
-        top = best.orderBy(F.desc("raw"), "doc_id").limit(k)
-        parts.append(top.select("doc_id", F.lit(i).alias("clause"), (F.col("raw") * boost).alias("s")))
+        own = F.when((F.col("field") == c["field"]) & (F.size("vec") == len(query)), metric)
+        scored.append(F.struct(F.lit(i).alias("clause"), own.cast("double").alias("raw"), F.lit(boost).alias("boost"), F.lit(k).alias("k")))
+        sizes.append(k)
+    filtered = [i for i in range(len(clauses)) if eligible and eligible[i] is not None]
+    free = [i for i in range(len(clauses)) if i not in filtered]
+    sources = [(vector_rows, free)] if free else []
+    sources += [(vector_rows.join(eligible[i].select("doc_id"), "doc_id", "left_semi"), [i]) for i in filtered]
+    parts = []
+    for rows, own in sources:
+        each = rows.select(F.col("root_id").alias("doc_id"), F.explode(F.array(*[scored[i] for i in own])).alias("c")).select("doc_id", "c.*").where("raw is not null")
+        if several:
+            each = each.groupBy("clause", "doc_id", "boost", "k").agg(F.max("raw").alias("raw"))
+        best = Window.partitionBy("clause").orderBy(F.desc("raw"), "doc_id")
+        top = each.withColumn("r", F.row_number().over(best)).where(F.col("r") <= max(sizes[i] for i in own)).where(F.col("r") <= F.col("k"))
+        parts.append(top.select("doc_id", "clause", (F.col("raw") * F.col("boost")).alias("s")))
     found = reduce(DataFrame.unionAll, parts)
     if operator == "and":
         every = found.groupBy("doc_id").agg(F.count_distinct("clause").alias("n")).where(F.col("n") == len(clauses))

@@ -232,7 +232,8 @@ class Compiler:
         return self.index.values.where((F.col("field") == fld) & (F.col("kind") == kind) & F.col("indexed"))
 
     def _constant(self, df: DataFrame, boost: float) -> Node:
-        return self._leaf(Node("constant", boost=boost, frame=df.select("doc_id").distinct()))
+        # a document with several values comes several times; its group counts it once
+        return self._leaf(Node("constant", boost=boost, frame=df.select("doc_id")))
 
     def _bind_numeric_range(self, q: Query, lenient: bool) -> Node:
         low, high = (None if q[k] is None else float(q[k]) for k in ("min", "max"))
@@ -472,6 +473,9 @@ class Compiler:
         rows = self.index.postings.where((F.col("field") == x.fld) & F.col("term").isin(sorted({w[0] for w in wanted}))).join(F.broadcast(asked), "term")
         s = self._term_score(F.col("idf"), x.fld) * F.col("qw") if self.score else F.lit(0.0)
         rows = rows.select("doc_id", "slot", "alts", s.alias("s"), "locs").repartition("doc_id")
+        if len(x.slots) > 1:  # positions are compared only in documents that have a term of every slot
+            full = rows.groupBy("doc_id").agg(F.count_distinct("slot").alias("k")).where(F.col("k") == len(x.slots)).select("doc_id")
+            rows = rows.join(full, "doc_id", "left_semi")
         met = rows.select("doc_id", "slot", F.explode("locs").alias("l")).groupBy("doc_id", "l.src", "l.ap", (F.col("l.pos") - F.col("slot")).alias("anchor")).agg(F.count_distinct("slot").alias("k")).where(F.col("k") == len(x.slots))
         scores = rows.groupBy("doc_id", "slot").agg((F.sum("s") * F.count("*") / F.first("alts")).alias("s")).groupBy("doc_id").agg(F.sum("s").alias("s"))
         return scores.join(met.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.lit(x.leaf).alias("leaf"), "s", F.lit(1).alias("n"))
@@ -527,12 +531,21 @@ class Compiler:
 
     def _grouped(self, rows: DataFrame, root: Node, key: str = "doc_id") -> DataFrame:
         if root.leaf >= 0 and root.kind in ("constant", "rows", "phrase"):
-            # one leaf with distinct documents: nothing to group
-            return rows.select("doc_id", F.col("s").alias("score"))
+            # one leaf: nothing to group but a constant's repeated documents
+            own = rows.select("doc_id", F.col("s").alias("score"))
+            return own.distinct() if root.kind == "constant" else own
         leaves = self._leaves(root)
-        per = [c for x in leaves for c in (F.sum(F.when(F.col("leaf") == x.leaf, F.col("s"))).alias(f"s{x.leaf}"), F.sum(F.when(F.col("leaf") == x.leaf, F.col("n"))).cast("int").alias(f"n{x.leaf}"))]
         matched, score = self._evaluate(root)
-        return rows.groupBy(key).agg(*per).where(matched).select(key, (score if self.score else F.lit(0.0)).alias("score"))
+        return rows.groupBy(key).agg(*self._sums(leaves)).where(matched).select(key, (score if self.score else F.lit(0.0)).alias("score"))
+
+    @staticmethod
+    def _sums(leaves: list[Node]) -> list[Column]:
+        """Score and matches of each leaf in a document's group."""
+        out = []
+        for x in leaves:
+            fold = F.max if x.kind == "constant" else F.sum
+            out += [fold(F.when(F.col("leaf") == x.leaf, F.col(c))).cast(kind).alias(f"{c}{x.leaf}") for c, kind in (("s", "double"), ("n", "int"))]
+        return out
 
     def _leaves(self, x: Node) -> list[Node]:
         own = [x] if x.leaf >= 0 else []
@@ -572,9 +585,8 @@ class Compiler:
             return own.select(F.col("root_id").alias("doc_id"), "root_id", F.array("root_id").alias("ancestors"), "score")
         leaves = self._leaves(x)
         own = rows.where(F.col("leaf").isin([y.leaf for y in leaves]))
-        per = [c for y in leaves for c in (F.sum(F.when(F.col("leaf") == y.leaf, F.col("s"))).alias(f"s{y.leaf}"), F.sum(F.when(F.col("leaf") == y.leaf, F.col("n"))).cast("int").alias(f"n{y.leaf}"))]
         matched, score = self._evaluate(x)
-        return own.groupBy("doc_id").agg(F.first("root_id").alias("root_id"), F.first("ancestors").alias("ancestors"), *per).where(matched).select(*keep, score.alias("score"))
+        return own.groupBy("doc_id").agg(F.first("root_id").alias("root_id"), F.first("ancestors").alias("ancestors"), *self._sums(leaves)).where(matched).select(*keep, score.alias("score"))
 
     def _compounds(self, x: Node) -> list[Node]:
         own = []
