@@ -5,6 +5,7 @@ import json
 import pytest
 
 from searchlake.operators.search import Searcher, SearchRequest, search
+from searchlake.operators.sorting import page, parse_order, with_keys
 from searchlake.plans.compiler import Compiler, member_hits
 from searchlake.plans.query import QueryError, parse
 from searchlake.sources.index import Index, Store, alias, synonym_table
@@ -284,6 +285,38 @@ def test_store_versions(spark, tmp_path):
     assert len(store.versions()) == 1
 
 
+def test_store_merges_segments(spark, tmp_path, monkeypatch):
+    """Many batches give the index that one batch gives, and few segments."""
+    monkeypatch.setattr(Store, "MERGE", 2)
+    store = Store.create(spark, str(tmp_path / "ix"), IndexMapping())
+    store.add_synonyms("c", [{"synonyms": ["red", "crimson"]}])
+    now = {}
+    for n, batch in enumerate([{"a": "red", "b": "blue"}, {"b": "green"}, {"c": "red"}, {"a": None, "d": "red blue"}]):
+        now = {k: v for k, v in {**now, **batch}.items() if v}
+        store.batch(spark.createDataFrame([(i, json.dumps({"t": t}) if t else None, n) for i, t in batch.items()], "doc_id string, source string, seq long"))
+        assert len(store.segments()) <= 2
+    whole = Index.from_json(frame(spark, {i: {"t": t} for i, t in now.items()}))
+    own = store.open()
+    for pick in (lambda x: x.dictionary.where("df > 0"), lambda x: x.postings.select("field", "term", "doc_id", "freq", "len"), lambda x: x.docs.select("doc_id")):
+        assert sorted(map(tuple, pick(own).collect())) == sorted(map(tuple, pick(whole).collect()))
+    assert own.synonyms.count() == 2
+
+
+def test_paging_from_missing_keys(spark):
+    index = Index.from_json(frame(spark, {"a": {"n": 1}, "b": {"n": 2}, "c": {"t": "x"}, "d": {"t": "x"}}))
+    pages = {}
+    for missing in ("last", "first"):
+        order = parse_order([{"by": "field", "field": "n", "missing": missing}, "_id"])
+        keyed = with_keys(index, Compiler(index).hits(parse({"match_all": {}})), order)
+        for edge in ("search_after", "search_before"):
+            for keys in ([None, "c"], [None, "d"], [1, "a"], [2, "b"]):
+                pages[missing, edge, keys[1]] = "".join(r.doc_id for r in page(keyed, order, 10, **{edge: keys}).collect())
+    full = {"last": "abcd", "first": "cdab"}
+    for (missing, edge, key), got in pages.items():
+        before, behind = full[missing].split(key)
+        assert got == (behind if edge == "search_after" else before), (missing, edge, key)
+
+
 def test_streaming_ingest(spark, tmp_path):
     store = Store.create(spark, str(tmp_path / "ix"), IndexMapping())
     (tmp_path / "in").mkdir()
