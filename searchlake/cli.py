@@ -20,6 +20,7 @@ def _parser() -> argparse.ArgumentParser:
     for name, more in {
         "create": ["--mapping"], "index": ["files*"], "bulk": ["files*", "--id"], "query": ["text", "--size", "--sort"], "request": ["file"], "count": [], "fields": [],
         "dictionary": ["field", "--prefix"], "mapping": [], "dump": ["--id"], "check": [], "versions": [], "rollback": ["version"], "delete": ["ids*"], "registry": [],
+        "dump-fields": ["--id"], "segments": [], "deleted": ["segment"], "segment": ["segment"], "terms": ["segment", "--field"],
     }.items():
         own = sub.add_parser(name)
         if name != "registry":
@@ -70,6 +71,27 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         wrong = counted.join(own.dictionary, ["field", "term"], "full").where("not (n <=> df)").count()
         print(f"postings without a document: {lost}; wrong counts: {wrong}")
         return int(bool(lost or wrong))
+    elif a.command == "dump-fields":  # the terms of each field, by document
+        rows = store.open().postings
+        for r in (rows.where(F.col("doc_id") == a.id) if a.id else rows).groupBy("doc_id", "field").agg(F.sort_array(F.collect_list("term")).alias("terms")).orderBy("doc_id", "field").toLocalIterator():
+            print(r["doc_id"], r["field"], " ".join(r["terms"]))
+    elif a.command == "segments":
+        for x in store.segments():
+            print(json.dumps(x))
+    elif a.command in ("deleted", "segment", "terms"):
+        every = store.segments()
+        at = next(i for i, x in enumerate(every) if x["n"] == int(a.segment))
+        read = lambda name: spark.read.parquet(f"{store._at(every[at])}/{name}")
+        if a.command == "deleted":  # documents of the segment that later ones replace
+            dead = store._dead(every[at + 1 :])
+            for r in read("docs").join(dead, "doc_id", "left_semi").orderBy("doc_id").toLocalIterator() if dead is not None else ():
+                print(r["doc_id"])
+        elif a.command == "segment":
+            print(json.dumps({t: read(t).count() for t in ("docs", "values", "postings", "terms")}))
+        else:
+            rows = read("terms")
+            for r in (rows.where(F.col("field") == a.field) if a.field else rows).orderBy("field", "term").toLocalIterator():
+                print(r["field"], r["term"], r["df"])
     elif a.command == "versions":
         print(*store.versions())
     elif a.command == "rollback":

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
@@ -187,11 +188,29 @@ class Searcher:
         rows = {r["leaf"]: r for r in compiler._rows(norm).where(F.col("doc_id") == doc_id).groupBy("leaf").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()}
         score = compiler._grouped(compiler._rows(norm).where(F.col("doc_id") == doc_id), root).first()
 
+        asked = {(x.fld, t) for x in compiler.leaves for t, _ in x.terms}
+        wanted = [(f, t) for f, t in sorted(asked)]
+        found = self.index.postings.where((F.col("doc_id") == doc_id) & F.col("field").isin(sorted({f for f, _ in wanted})) & F.col("term").isin(sorted({t for _, t in wanted}))) if wanted else None
+        postings = {(r["field"], r["term"]): r for r in found.select("field", "term", "freq", "len").collect()} if found is not None else {}
+
+        def term_tree(x, term: str, boost: float) -> dict:
+            """The parts of a term's score: its weight in the query, and its weight in the field."""
+            df, row = compiler.df.get((x.fld, term), 0), postings.get((x.fld, term))
+            idf = compiler._idf_value(df)
+            parts = [{"message": f"idf(df={df}, docs={self.index.count})", "value": idf}]
+            if norm is not None:
+                parts = [{"message": f"query weight({term})", "value": boost * idf * norm, "children": [{"message": "boost", "value": boost}, *parts, {"message": "query norm", "value": norm}]}]
+            if row is not None:
+                tf, length = math.sqrt(row["freq"]), row["len"]
+                weighed = {"message": f"tf(freq={row['freq']})", "value": tf}, {"message": f"norm(length={length})", "value": 1 / math.sqrt(length)}, {"message": "idf", "value": idf}
+                parts.append({"message": f"field weight({x.fld}:{term})", "value": tf * idf / math.sqrt(length) if compiler.scoring != "bm25" else None, "children": list(weighed)})
+            return {"term": term, "boost": boost, "df": df, "idf": idf, "matched": row is not None, "children": parts}
+
         def tree(x) -> dict:
             own = {"message": x.kind + (f" in {x.fld}" if x.fld else ""), "children": [tree(c) for c in [*x.children, *x.sections.values()]]}
             if x.leaf >= 0:
                 own["value"] = rows[x.leaf]["s"] if x.leaf in rows else 0.0
-                own["terms"] = [{"term": t, "boost": b, "df": compiler.df.get((x.fld, t), 0), "idf": compiler._idf_value(compiler.df.get((x.fld, t), 0))} for t, b in x.terms]
+                own["terms"] = [term_tree(x, t, b) for t, b in x.terms]
             return own
 
         return {"value": score["score"] if score else 0.0, "query_norm": norm, "tree": tree(root)}

@@ -13,7 +13,7 @@ from __future__ import annotations
 import json
 import math
 import time
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 from functools import cached_property, reduce
 from typing import Any
@@ -216,6 +216,44 @@ def alias(*members: Index, names: list[str] | None = None) -> Index:
     return Index(members[0].mapping, docs, both(lambda m: m.values), both(lambda m: m.postings), joined)
 
 
+class Alias:
+    """A name for several indexes, which may come and go: a search sees those that are members when it starts."""
+
+    def __init__(self, **members: Index):
+        self.members: dict[str, Index] = dict(members)
+
+    def add(self, **members: Index) -> None:
+        self.members |= members
+
+    def remove(self, *names: str) -> None:
+        for n in names:
+            self.members.pop(n, None)
+
+    def swap(self, add: dict[str, Index], remove: Iterable[str]) -> None:
+        """Both at once: no search sees one without the other."""
+        gone = set(remove)
+        self.members = {n: m for n, m in self.members.items() if n not in gone} | add
+
+    def index(self) -> Index:
+        """The members as one index, with scores from statistics over all of them."""
+        own = self.members
+        if not own:
+            raise ValueError("the alias has no members")
+        return alias(*own.values(), names=list(own))
+
+    def status(self) -> tuple[Index | None, dict[str, Any]]:
+        """The members that can be read as one index, and a status: total, failed, successful, errors by member."""
+        fine, errors = {}, {}
+        for n, m in self.members.items():
+            try:
+                m.docs.limit(1).count()
+                fine[n] = m
+            except Exception as e:  # whatever keeps a member from being read
+                errors[n] = str(e).split("\n", 1)[0]
+        found = alias(*fine.values(), names=list(fine)) if fine else None
+        return found, {"total": len(self.members), "failed": len(errors), "successful": len(fine), "errors": errors}
+
+
 def synonym_table(spark: SparkSession, collection: str, definitions: list[dict[str, list[str]]]) -> DataFrame:
     """Definitions with synonyms alone make them equivalent; with input, each input gets the synonyms."""
     pairs = set()

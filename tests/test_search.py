@@ -8,7 +8,7 @@ from searchlake.operators.search import Searcher, SearchRequest, search
 from searchlake.operators.sorting import page, parse_order, with_keys
 from searchlake.plans.compiler import Compiler, member_hits
 from searchlake.plans.query import QueryError, parse
-from searchlake.sources.index import Index, Store, alias, synonym_table
+from searchlake.sources.index import Alias, Index, Store, alias, synonym_table
 from searchlake.sources.mapping import IndexMapping
 from searchlake.streaming.ingest import ingest, percolate
 
@@ -136,6 +136,8 @@ def test_scores(people):
     assert [h["id"] for h in boosted.hits] == ["b", "a"]
     assert all(h["score"] == 0 for h in search(people, {"query": {"match": "math"}, "score": "none"}).hits)
     told = Searcher(people).explain(parse({"match": "math"}), "a")
+    parts = told["tree"]["terms"][0]["children"]
+    assert parts[0]["value"] * parts[1]["value"] == pytest.approx(told["value"], rel=1e-6) and [c["message"].split("(")[0] for c in parts[1]["children"]] == ["tf", "norm", "idf"]
     assert told["value"] == pytest.approx(next(h["score"] for h in search(people, {"query": {"match": "math"}}).hits if h["id"] == "a"))
 
 
@@ -187,6 +189,36 @@ def test_synonyms(spark, people):
     assert ids(people, {"match": "numbers", "field": "tags"}) == []
 
 
+def test_constructors_equal_json():
+    from searchlake.plans import query as q
+
+    cases = [
+        (q.match_all(), {"match_all": {}}), (q.match_phrase("a b", fld="t"), {"match_phrase": "a b", "field": "t"}), (q.phrase(["a", "b"], fld="t"), {"terms": ["a", "b"], "field": "t"}),
+        (q.prefix("a", fld="t", boost=2), {"prefix": "a", "field": "t", "boost": 2}), (q.regexp("a.", fld="t"), {"regexp": "a.", "field": "t"}), (q.wildcard("a*"), {"wildcard": "a*"}),
+        (q.fuzzy("abc", 1, fld="t"), {"term": "abc", "fuzziness": 1, "field": "t"}), (q.term_range("a", "b"), {"min": "a", "max": "b"}), (q.numeric_range(1, None, fld="n"), {"min": 1, "field": "n"}),
+        (q.date_range("2020-01-01"), {"start": "2020-01-01"}), (q.bool_field(True, fld="b"), {"bool": True, "field": "b"}), (q.ip_range("10.0.0.0/8"), {"cidr": "10.0.0.0/8"}), (q.doc_ids(["a"]), {"ids": ["a"]}),
+        (q.query_string("+a"), {"query": "+a"}), (q.geo_distance([1, 2], "3km"), {"location": [1, 2], "distance": "3km"}), (q.geo_box([0, 1], [1, 0]), {"top_left": [0, 1], "bottom_right": [1, 0]}),
+    ]
+    for built, source in cases:
+        read = parse(source)
+        assert (built.kind, built.field, built.boost, {k: v for k, v in built.args.items() if k != "match_all"}) == (read.kind, read.field, read.boost, {k: v for k, v in read.args.items() if k != "match_all"}), source
+    with pytest.raises(QueryError):
+        q.numeric_range(None, None)
+
+
+def test_alias_members(spark):
+    one, two = Index.from_json(frame(spark, {"a": {"t": "x"}})), Index.from_json(frame(spark, {"b": {"t": "x"}}))
+    own = Alias(one=one)
+    assert ids(own.index(), {"match": "x"}) == ["a"]
+    own.swap({"two": two}, ["one"])
+    assert ids(own.index(), {"match": "x"}) == ["b"]
+    own.add(one=one)
+    assert ids(own.index(), {"match": "x"}) == ["a", "b"] and own.status()[1] == {"total": 2, "failed": 0, "successful": 2, "errors": {}}
+    own.remove("one", "two")
+    with pytest.raises(ValueError, match="members"):
+        own.index()
+
+
 def test_many_synonyms(spark):
     from types import SimpleNamespace
 
