@@ -3,8 +3,8 @@
 An index is a mapping and three DataFrames. ``docs``: one row per document (and per nested
 child). ``values``: one row per field value. ``postings``: one row per field, term and
 document, with frequency, field length and locations. Dictionaries and statistics are
-groupings of the postings; stored indexes keep them as tables of their own, and postings
-are range-clustered by field, term and document, so a query reads the row groups of its
+groupings of the postings; stored indexes keep them as tables of their own, and every file of
+postings is sorted by field, term and document, so a query reads the row groups of its
 terms only.
 """
 
@@ -14,6 +14,7 @@ import json
 import math
 import time
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 from functools import cached_property, reduce
 from typing import Any
@@ -51,22 +52,27 @@ def postings_of(texts: DataFrame, by_name: dict[str, Analyzer], with_all: bool =
 
     others: rows of other kinds, which count for the length of the combined field.
 
-    One shuffle by document and field: lengths and frequencies are summed under the same
-    partitioning. Each analyzer in use reads the rows that name it.
+    Texts are shuffled once, by document and before they are analysed; lengths, frequencies and
+    lists are grouped under that partitioning. Each analyzer in use reads the rows that name it.
     """
-    parts = []
-    for name, own in sorted(by_name.items()):
-        rows = texts.where(F.col("analyzer") == name) if len(by_name) > 1 else texts
-        parts.append(rows.select("doc_id", "field", "ap", "in_all", own.column(F.col("s")).alias("tokens")))
-    tokens = parts[0]
-    for p in parts[1:]:
-        tokens = tokens.unionAll(p)
-    fields = F.when(F.col("in_all"), F.array("field", F.lit(ALL))).otherwise(F.array("field")) if with_all else F.array("field")
-    at = F.struct(F.col("field").alias("src"), "ap").alias("at")
-    values = tokens.select("doc_id", F.explode(fields).alias("to"), at, "tokens", F.size("tokens").alias("size"))
+    rows = texts.select("doc_id", "field", "ap", "in_all", "s", "analyzer", F.lit(0).alias("more"))
+    if len(by_name) > 1:
+        rows = rows.where(F.col("analyzer").isin(sorted(by_name)))
+    else:
+        rows = rows.withColumn("analyzer", F.lit(next(iter(by_name))))
     if with_all and others is not None:
         size = F.coalesce(F.create_map(*[x for k, n in OTHER_LENGTHS.items() for x in (F.lit(k), F.lit(n))])[F.col("kind")], F.lit(0))
-        values = values.unionAll(others.where("in_all and indexed").select("doc_id", F.lit(ALL), at, F.array().cast(TOKENS), size))
+        rows = rows.unionAll(others.where("in_all and indexed").select("doc_id", "field", "ap", "in_all", F.lit(None).cast("string"), F.lit(None).cast("string"), size))
+    tokens = F.array().cast(TOKENS)
+    for name, own in sorted(by_name.items()):
+        mine = F.col("analyzer") == name
+        tokens = F.when(mine, own.column(F.when(mine, F.col("s")))).otherwise(tokens)
+    fields = F.array("field")
+    if with_all:
+        fields = F.when(F.col("analyzer").isNull(), F.array(F.lit(ALL))).when(F.col("in_all"), F.array("field", F.lit(ALL))).otherwise(fields)
+    at = F.struct(F.col("field").alias("src"), "ap").alias("at")
+    analysed = rows.repartition("doc_id").select("doc_id", "field", "ap", "in_all", "analyzer", "more", tokens.alias("tokens"))
+    values = analysed.select("doc_id", F.explode(fields).alias("to"), at, "tokens", (F.size("tokens") + F.col("more")).alias("size"))
     grouped = values.groupBy("doc_id", "to").agg(F.collect_list(F.struct("at", "tokens")).alias("all"), F.sum("size").cast("int").alias("len"))
     each = grouped.select("doc_id", F.col("to").alias("field"), "len", F.explode("all").alias("v")).select("doc_id", "field", "len", "v.at", F.explode("v.tokens").alias("t"))
     loc = F.struct(F.col("at.src").alias("src"), F.col("at.ap").alias("ap"), F.col("t.pos").alias("pos"))
@@ -82,6 +88,7 @@ class Index:
     synonyms: DataFrame | None = None  # collection, lhs, rhs
     term_stats: DataFrame | None = None  # field, term, df
     name: str = ""
+    by_field: bool = False  # values come field by field, each partition has one
 
     @property
     def spark(self) -> SparkSession:
@@ -142,7 +149,7 @@ class Index:
             postings = postings_of(joined, {n: own[n] for n in used}, with_all)
         else:
             postings = postings_of(rows.where("false"), {mapping.default_analyzer: own[mapping.default_analyzer]}, False)
-        return Index(mapping, docs, rows, postings)
+        return Index(mapping, docs, rows, postings, by_field=True)
 
     # --- dictionaries and statistics ---
 
@@ -266,36 +273,47 @@ def synonym_table(spark: SparkSession, collection: str, definitions: list[dict[s
 
 
 TABLES = ("docs", "values", "postings", "terms")
-#: Groups of one task that an aggregation into lists keeps in a hash table before it sorts.
-_LIST_GROUPS = ("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "20000")
+#: While tables are written. Partitions follow the bytes shuffled, so what a task sorts or groups is
+#: bounded (rows of a few bytes when compressed are many times that in memory), and an aggregation
+#: into lists keeps so many groups in a hash table before it sorts.
+_WRITING = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "2000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4m",
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "20000",
+}
+
+
+@contextmanager
+def writing(spark: SparkSession) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in _WRITING}
+    for k, v in _WRITING.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
 def write_tables(index: Index, at: str) -> None:
-    """The one layout of stored indexes: values by field, postings by field, term and document, so that
-    a query reads the row groups of its fields and terms, and a hot term is in many files."""
+    """The one layout of stored indexes: values clustered by field (range-clustered by field and document,
+    unless partitions have one field each); postings in files of some documents each, every file sorted by field, term and document, so that a query reads the row
+    groups and pages of its fields and terms. Postings are never shuffled, the texts are."""
     spark = index.spark
-    before = spark.conf.get(_LIST_GROUPS[0], None)
-    spark.conf.set(*_LIST_GROUPS)
-    try:
+    with writing(spark):
         index.docs.write.mode("overwrite").parquet(f"{at}/docs")
-        index.values.repartitionByRange("field", "doc_id").sortWithinPartitions("field", "doc_id").write.mode("overwrite").parquet(f"{at}/values")
-        # the range sort samples its input, so that is written once before it is sorted
-        index.postings.write.mode("overwrite").parquet(f"{at}/unsorted")
-    finally:
-        spark.conf.set(_LIST_GROUPS[0], before) if before is not None else spark.conf.unset(_LIST_GROUPS[0])
-    own = spark.read.schema(index.postings.schema).parquet(f"{at}/unsorted")
-    order = ("field", "term", "doc_id")
-    own.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{at}/postings")
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{at}/unsorted")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    terms = spark.read.parquet(f"{at}/postings").groupBy("field", "term").agg(F.count("*").alias("df"))
-    terms.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{at}/terms")
+        values = index.values if index.by_field else index.values.repartitionByRange("field", "doc_id").sortWithinPartitions("field", "doc_id")
+        values.write.mode("overwrite").parquet(f"{at}/values")
+        index.postings.sortWithinPartitions("field", "term", "doc_id").write.mode("overwrite").parquet(f"{at}/postings")
+        terms = spark.read.schema(index.postings.schema).parquet(f"{at}/postings").groupBy("field", "term").agg(F.count("*").alias("df"))
+        terms.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{at}/terms")
 
 
 def read_tables(spark: SparkSession, at: str, index: Index) -> Index:
     """The stored tables of an index in its place."""
     read = spark.read.parquet
-    return replace(index, docs=read(f"{at}/docs"), values=read(f"{at}/values"), postings=read(f"{at}/postings"), term_stats=read(f"{at}/terms"))
+    return replace(index, docs=read(f"{at}/docs"), values=read(f"{at}/values"), postings=read(f"{at}/postings"), term_stats=read(f"{at}/terms"), by_field=False)
 
 
 class Store:
