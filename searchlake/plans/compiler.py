@@ -463,22 +463,31 @@ class Compiler:
         return reduce(DataFrame.unionAll, parts)
 
     def _phrase_rows(self, x: Node, norm: float | None) -> DataFrame:
-        """Documents where all slots stand in their places; positions minus slots meet at an anchor."""
+        """Documents where all slots stand in their places: positions minus slots meet at an anchor.
+        One grouping by document; an anchor is a short text, as lists of structs take many times its memory."""
         wanted = []
         for at, alts in x.slots:
             for t, b in alts:
                 idf = self._idf_value(self.df.get((x.fld, t), 0)) if self.score else 0.0
-                wanted.append((t, at, len(alts), idf, b * idf * norm if norm is not None else b * idf))
-        asked = small_frame(self.index.spark, wanted, "term string, slot int, alts int, idf double, qw double")
+                wanted.append((t, at, idf, b * idf * norm if norm is not None else b * idf))
+        asked = small_frame(self.index.spark, wanted, "term string, slot int, idf double, qw double")
         rows = self.index.postings.where((F.col("field") == x.fld) & F.col("term").isin(sorted({w[0] for w in wanted}))).join(F.broadcast(asked), "term")
         s = self._term_score(F.col("idf"), x.fld) * F.col("qw") if self.score else F.lit(0.0)
-        rows = rows.select("doc_id", "slot", "alts", s.alias("s"), "locs").repartition("doc_id")
-        if len(x.slots) > 1:  # positions are compared only in documents that have a term of every slot
-            full = rows.groupBy("doc_id").agg(F.count_distinct("slot").alias("k")).where(F.col("k") == len(x.slots)).select("doc_id")
-            rows = rows.join(full, "doc_id", "left_semi")
-        met = rows.select("doc_id", "slot", F.explode("locs").alias("l")).groupBy("doc_id", "l.src", "l.ap", (F.col("l.pos") - F.col("slot")).alias("anchor")).agg(F.count_distinct("slot").alias("k")).where(F.col("k") == len(x.slots))
-        scores = rows.groupBy("doc_id", "slot").agg((F.sum("s") * F.count("*") / F.first("alts")).alias("s")).groupBy("doc_id").agg(F.sum("s").alias("s"))
-        return scores.join(met.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.lit(x.leaf).alias("leaf"), "s", F.lit(1).alias("n"))
+
+        def anchor(loc: Column) -> Column:
+            place = F.concat(F.lit("|"), F.coalesce(F.array_join(loc["ap"].cast("array<string>"), ","), F.lit("")), F.lit("|"), loc["src"])
+            return F.concat((loc["pos"] - F.col("slot")).cast("string"), F.when((loc["src"] == x.fld) & (F.size(loc["ap"]) == 0), "").otherwise(place))
+
+        rows = rows.select("doc_id", "slot", s.alias("s"), F.transform("locs", anchor).alias("anchors")).repartition("doc_id")
+        docs = rows.groupBy("doc_id").agg(F.collect_list(F.struct("slot", "s", "anchors")).alias("all"))
+        slot_is = lambda at: lambda r: r["slot"] == at
+        met, score = None, F.lit(0.0)
+        for at, alts in x.slots:
+            own = F.filter("all", slot_is(at))
+            here = F.flatten(F.transform(own, lambda r: r["anchors"]))
+            met = here if met is None else F.array_intersect(met, here)
+            score = score + F.aggregate(own, F.lit(0.0), lambda total, r: total + r["s"]) * F.size(own) / len(alts)
+        return docs.where(F.size(met) > 0).select("doc_id", F.lit(x.leaf).alias("leaf"), score.alias("s"), F.lit(1).alias("n"))
 
     def _evaluate(self, x: Node) -> tuple[Column, Column]:
         """(matched, score) over a document's group."""
