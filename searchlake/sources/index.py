@@ -30,17 +30,32 @@ ALL = "_all"
 POSTINGS = ["field", "term", "doc_id", "freq", "len", "locs"]
 
 
-def field_rows(docs: DataFrame, mapping: IndexMapping) -> DataFrame:
-    """docs (doc_id string, seq long, source JSON string) -> field rows."""
+#: Field rows that a worker holds as Python objects.
+BATCH_ROWS = 5_000
+
+
+def walked(frames: Iterator[pd.DataFrame], mapping: IndexMapping) -> Iterator[pd.DataFrame]:
+    """Field rows of documents, in frames of about BATCH_ROWS."""
+    walker = Walker(mapping)
+    names = [c.split()[0] for c in ROW.split(", ")]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        walker = Walker(mapping)
-        names = [c.split()[0] for c in ROW.split(", ")]
-        for f in frames:
-            rows = [r for i, n, s in zip(f["doc_id"], f["seq"], f["source"], strict=True) for r in walker.rows(i, n, json.loads(s) if s else None)]
-            yield pd.DataFrame(rows, columns=names).astype({"d": "Float64", "ts_ns": "Int64", "b": "boolean", "lon": "Float64", "lat": "Float64"})
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=names).astype({"d": "Float64", "ts_ns": "Int64", "b": "boolean", "lon": "Float64", "lat": "Float64"})
 
-    return docs.select("doc_id", "seq", "source").mapInPandas(run, ROW)
+    rows: list[tuple] = []
+    for f in frames:
+        for i, n, s in zip(f["doc_id"], f["seq"], f["source"], strict=True):
+            rows += walker.rows(i, n, json.loads(s) if s else None)
+            if len(rows) >= BATCH_ROWS:
+                yield frame(rows)
+                rows = []
+    if rows:
+        yield frame(rows)
+
+
+def field_rows(docs: DataFrame, mapping: IndexMapping) -> DataFrame:
+    """docs (doc_id string, seq long, source JSON string) -> field rows."""
+    return docs.select("doc_id", "seq", "source").mapInPandas(lambda frames: walked(frames, mapping), ROW)
 
 
 #: Terms that a value of another kind adds to the length of the combined field.
